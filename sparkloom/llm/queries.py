@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import mixing, pii, secrets, sharding
+from sparkloom.llm import language, mixing, pii, secrets, sharding, toxicity
 from sparkloom.llm.spans import joined
 from sparkloom.storage import stage
 
 SHARDS = 8
+TOXIC_AT = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +49,23 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.find_personal(table(spark, sf_dir, "documents")), pii.KINDS, 4)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    model = language.fit_languages(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model).select("doc_id", F.col("toxicity.score").alias("score"), F.size("toxicity.segments").alias("n_segments"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "n_segments")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op3_secrets": op3_secrets, "op7_shard": op7_shard, "op8_pii": op8_pii}
+    return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
