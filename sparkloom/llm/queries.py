@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import language, mixing, pii, secrets, sharding, toxicity
+from sparkloom.llm import decontamination, language, mixing, neighbours, pii, secrets, sharding, toxicity
 from sparkloom.llm.spans import joined
 from sparkloom.storage import stage
 
@@ -57,6 +57,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -65,7 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity}
+    return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_neighbours": op5_neighbours, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
