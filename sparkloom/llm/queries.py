@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontamination, language, mixing, neighbours, pii, secrets, sharding, toxicity
+from sparkloom.llm import decontamination, language, mixing, neighbours, ngram_join, pii, secrets, sharding, toxicity
 from sparkloom.llm.spans import joined
 from sparkloom.storage import stage
 
@@ -25,6 +25,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken", "copies")
 
 
+def op6_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link_documents(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+    return linked.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -76,7 +81,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_neighbours": op5_neighbours, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity}
+    return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_neighbours": op5_neighbours, "op6_join": op6_join, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
