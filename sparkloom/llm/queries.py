@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontamination, language, mixing, neighbours, ngram_join, pii, secrets, sharding, toxicity
+from sparkloom.llm import decontamination, language, mixing, neighbours, ngram_join, pii, secrets, sharding, suffix_dedup, toxicity
 from sparkloom.llm.spans import joined
 from sparkloom.storage import stage
 
@@ -80,8 +80,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "n_segments")
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_neighbours": op5_neighbours, "op6_join": op6_join, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity}
+    return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_neighbours": op5_neighbours, "op6_join": op6_join, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity, "op10_suffixes": op10_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
