@@ -1,15 +1,357 @@
-"""Queries over the driver's tables, one or more for each pipeline operator."""
+"""Queries over the driver's tables, one or more for each pipeline operator, and their SQL.
+
+A query is a pipeline's middle: the operators are applied to whole tables, and
+structs and arrays are flattened at the end so that results can be compared.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.model import DEFAULT_IN, DEFAULT_OUT
+from sparkloom.operators import REGISTRY, Context
+from sparkloom.plans.planner import union
+from sparkloom.sinks import files as write_files
+from sparkloom.sources import files as read_files
+from sparkloom.storage import shared_folder
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def apply(df: DataFrame | dict[str, DataFrame], operator: str, config: dict[str, Any], port: str = DEFAULT_OUT, **functions: Callable) -> DataFrame:
+    inputs = df if isinstance(df, dict) else {DEFAULT_IN: df}
+    return REGISTRY[operator](inputs, config, Context(operator.lower(), functions))[port]
+
+
+@query("SELECT event_id, event_type || '-' || user_id AS tag, event_type AS kind, 'fixed' AS label FROM events")
+def put_template(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "events")
+    for field, value in (("tag", "${event_type}-${user_id}"), ("kind", "${event_type}"), ("label", "fixed")):
+        df = apply(df, "PUT", {"field": field, "value": value})
+    return df.select("event_id", "tag", "kind", "label")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def prune_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "orders"), "PRUNE", {"fields": ["o_orderdate", "o_orderpriority"]})
+
+
+@query("SELECT o_orderkey AS id, o_custkey, o_orderstatus AS status, o_totalprice FROM orders")
+def rename_orders(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "orders"), "RENAME", {"mapping": {"o_orderkey": "id", "o_orderstatus": "status"}})
+    return df.select("id", "o_custkey", "status", "o_totalprice")
+
+
+_LINE = "l_orderkey, l_linenumber, l_quantity, l_returnflag"
+
+
+@query(f"SELECT {_LINE} FROM lineitem WHERE l_quantity > 25 AND l_returnflag = 'R'")
+def filter_true(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "lineitem"), "FILTER", {"condition": "l_quantity > 25 and l_returnflag == 'R'"}, "true").select(*_LINE.split(", "))
+
+
+@query(f"SELECT {_LINE} FROM lineitem WHERE coalesce(NOT (l_quantity > 25 AND l_returnflag = 'R'), true)")
+def filter_false(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "lineitem"), "FILTER", {"condition": "l_quantity > 25 and l_returnflag == 'R'"}, "false").select(*_LINE.split(", "))
+
+
+_ROUTES = [{"portId": "large", "condition": "o_totalprice >= 100000"}, {"portId": "open", "condition": "o_orderstatus == 'O'"}]
+
+
+def _routed(spark: SparkSession, sf: str, mode: str, ports: tuple[str, ...]) -> DataFrame:
+    routes = REGISTRY["ROUTE"]({DEFAULT_IN: table(spark, sf, "orders")}, {"routes": _ROUTES, "matchMode": mode}, Context("route"))
+    return union([routes[p].select("o_orderkey", F.lit(p).alias("port")) for p in ports])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 'large' ELSE 'open' END AS port FROM orders WHERE o_totalprice >= 100000 OR o_orderstatus = 'O'")
+def route_first(spark: SparkSession, sf: str) -> DataFrame:
+    return _routed(spark, sf, "FIRST_MATCH", ("large", "open"))
+
+
+@query("SELECT o_orderkey, 'large' AS port FROM orders WHERE o_totalprice >= 100000 UNION ALL SELECT o_orderkey, 'open' FROM orders WHERE o_orderstatus = 'O'")
+def route_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _routed(spark, sf, "ALL_MATCHES", ("large", "open"))
+
+
+@query("SELECT o_orderkey, 'unmatched' AS port FROM orders WHERE NOT (o_totalprice >= 100000 OR o_orderstatus = 'O')")
+def route_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    return _routed(spark, sf, "FIRST_MATCH", ("unmatched",))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 AND o_orderstatus = 'F' THEN 'large_done' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'other' END AS order_class FROM orders")
+def case_when_orders(spark: SparkSession, sf: str) -> DataFrame:
+    cases = [{"condition": "o_totalprice >= 200000 and o_orderstatus == 'F'", "value": "large_done"}, {"condition": "o_orderstatus == 'F'", "value": "done"}]
+    return apply(table(spark, sf, "orders"), "CASE_WHEN", {"targetField": "order_class", "cases": cases, "defaultMode": "VALUE", "defaultValue": "other"}).select("o_orderkey", "order_class")
+
+
+@query("SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS whole FROM orders")
+def cast_int_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "orders").withColumn("price", F.col("o_totalprice").cast("string"))
+    return apply(df, "CAST", {"inputField": "price", "outputField": "whole", "targetType": "LONG"}).select("o_orderkey", "whole")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem")
+def eval_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "lineitem"), "EVAL", {"targetField": "revenue", "expression": "l_extendedprice * (1 - l_discount)"})
+    return df.select("l_orderkey", "l_linenumber", F.round("revenue", 4).alias("revenue"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN 100 // (user_id % 3) END AS ratio FROM events")
+def eval_put_null(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "events"), "EVAL", {"targetField": "ratio", "expression": "100 / (user_id % 3)", "errorStrategy": "PUT_NULL"}).select("event_id", "ratio")
+
+
+_DERIVE = [("DATE", "d"), ("YEAR", "y"), ("MONTH", "m"), ("DAY", "dd"), ("HOUR", "h"), ("MINUTE", "mi"), ("SECOND", "s"), ("WEEK", "w"), ("QUARTER", "q"), ("DAY_OF_WEEK", "dow"), ("DAY_OF_YEAR", "doy"), ("EPOCH_MILLIS", "ms"), ("EPOCH_SECONDS", "es")]
+
+
+@query(
+    "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, year(ts)::INT AS y, month(ts)::INT AS m, day(ts)::INT AS dd, hour(ts)::INT AS h, minute(ts)::INT AS mi, second(ts)::INT AS s, week(ts)::INT AS w, quarter(ts)::INT AS q,"
+    " isodow(ts)::INT AS dow, dayofyear(ts)::INT AS doy, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS es, strftime(ts, '%Y%m%d%H') AS f FROM events"
+)
+def time_derive_events(spark: SparkSession, sf: str) -> DataFrame:
+    derivations = [{"type": t, "outputField": f} for t, f in _DERIVE] + [{"type": "FORMAT", "pattern": "yyyyMMddHH", "outputField": "f"}]
+    df = apply(table(spark, sf, "events"), "TIME_DERIVE", {"sourceField": "ts", "derivations": derivations})
+    return df.select("event_id", *[f for _, f in _DERIVE], "f")
+
+
+@query("SELECT c_custkey, left(c_name, 3) || repeat('*', length(c_name) - 7) || right(c_name, 4) AS masked FROM customer")
+def mask_customer(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "customer"), "MASK_HASH", {"rules": [{"sourceField": "c_name", "targetField": "masked", "action": "MASK"}]}).select("c_custkey", "masked")
+
+
+@query("SELECT c_custkey, sha256('salt-' || c_name) AS h256, md5(c_name) AS h5 FROM customer")
+def hash_customer(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [{"sourceField": "c_name", "targetField": "h256", "action": "HASH", "algorithm": "SHA-256", "salt": "salt-"}, {"sourceField": "c_name", "targetField": "h5", "action": "HASH", "algorithm": "MD5"}]
+    return apply(table(spark, sf, "customer"), "MASK_HASH", {"rules": rules}).select("c_custkey", "h256", "h5")
+
+
+_RULES = [
+    {"field": "l_quantity", "ruleType": "RANGE", "min": 5, "max": 45},
+    {"field": "l_returnflag", "ruleType": "ENUM", "enumValues": ["A", "N"], "customMessage": "flag"},
+    {"field": "l_shipdate", "ruleType": "NOT_NULL"},
+]
+_BAD = "concat_ws(';', CASE WHEN l_quantity < 5 THEN 'l_quantity must be >= 5' END, CASE WHEN l_quantity > 45 THEN 'l_quantity must be <= 45' END, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'flag' END)"
+
+
+def _quality(spark: SparkSession, sf: str, mode: str, port: str) -> DataFrame:
+    return apply(table(spark, sf, "lineitem"), "DATA_QUALITY", {"rules": _RULES, "mode": mode, "errorField": "errors"}, port)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 5 AND 45 AND l_returnflag IN ('A', 'N')")
+def dq_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf, "DIRTY_PORT", DEFAULT_OUT).select("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT * FROM (SELECT l_orderkey, l_linenumber, {_BAD} AS errors FROM lineitem) WHERE errors <> ''")
+def dq_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf, "DIRTY_PORT", "dirty").select("l_orderkey", "l_linenumber", F.concat_ws(";", "errors").alias("errors"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_BAD} AS errors FROM lineitem")
+def dq_mark(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf, "MARK_ERROR", DEFAULT_OUT).select("l_orderkey", "l_linenumber", F.concat_ws(";", "errors").alias("errors"))
+
 
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS p_k FROM events")
+def deserialize_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "events"), "DESERIALIZE", {"field": "props", "targetField": "parsed", "format": "JSON", "schema": "k bigint"})
+    return apply(df, "FLATTEN", {"sourceField": "parsed", "targetPrefix": "p", "removeSourceField": True}).select("event_id", "p_k")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+@query("SELECT n_nationkey, 'n_name=' || n_name || '&n_regionkey=' || n_regionkey AS text FROM nation")
+def serialize_kv(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "nation"), "SERIALIZE", {"sourceFields": ["n_name", "n_regionkey"], "targetField": "text", "format": "KV"}).select("n_nationkey", "text")
+
+
+@query("SELECT n_nationkey, n_name || '|' || n_regionkey AS text FROM nation")
+def serialize_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "nation"), "SERIALIZE", {"sourceFields": ["n_name", "n_regionkey"], "targetField": "text", "format": "CSV", "delimiter": "|"}).select("n_nationkey", "text")
+
+
+@query("SELECT n_nationkey, '<root><n_name>' || n_name || '</n_name><n_regionkey>' || n_regionkey || '</n_regionkey></root>' AS text FROM nation")
+def serialize_xml(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "nation"), "SERIALIZE", {"sourceFields": ["n_name", "n_regionkey"], "targetField": "text", "format": "XML"}).select("n_nationkey", "text")
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '^([a-z]+)://([^/]+)', 1), '') AS proto, nullif(regexp_extract(url, '^([a-z]+)://([^/]+)', 2), '') AS host FROM pages")
+def grok_pages(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "pages"), "GROK", {"inputField": "url", "outputField": "parts", "pattern": "(?<proto>[a-z]+)://(?<host>[^/]+)"})
+    return df.select("page_id", "parts.proto", "parts.host")
+
+
+@query("SELECT page_id, unnest(string_split(url, '/')) AS part FROM pages")
+def explode_url(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "pages").withColumn("parts", F.split("url", "/", -1))
+    return apply(df, "EXPLODE", {"sourceField": "parts", "targetField": "part"}).select("page_id", "part")
+
+
+_TIMED = {"timeMode": "EVENT_TIME", "eventTimeField": "ts", "outputMode": "FLAT", "timeUnit": "HOURS"}
+_SUMS = [{"function": "COUNT", "outputField": "n"}, {"function": "SUM", "field": "value", "outputField": "total"}]
+
+
+@query("SELECT 'TUMBLING_TIME' AS windowType, epoch_ms(date_trunc('hour', ts)) AS windowStart, epoch_ms(date_trunc('hour', ts)) + 3600000 AS windowEnd, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value > 100 GROUP BY ALL")
+def agg_tumbling_hour(spark: SparkSession, sf: str) -> DataFrame:
+    large = apply(table(spark, sf, "events"), "FILTER", {"condition": "value > 100"}, "true")
+    df = apply(large, "AGGREGATE", {**_TIMED, "mode": "GROUPED", "groupBy": ["event_type"], "windowSize": 1, "aggregations": _SUMS})
+    return df.withColumn("total", F.round("total", 4))
+
+
+@query(
+    "SELECT 'SLIDING_TIME' AS windowType, epoch_ms(s) AS windowStart, epoch_ms(s) + 7200000 AS windowEnd, count(*) AS n, round(sum(value), 4) AS total"
+    " FROM (SELECT value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY s"
+)
+def agg_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "events"), "AGGREGATE", {**_TIMED, "mode": "GLOBAL", "windowType": "SLIDING_TIME", "windowSize": 2, "windowSlide": 1, "aggregations": _SUMS})
+    return df.withColumn("total", F.round("total", 4))
+
+
+@query("SELECT epoch_ms(date_trunc('day', ts)) AS day_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def agg_global_day(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "events"), "AGGREGATE", {**_TIMED, "outputMode": "NESTED", "mode": "GLOBAL", "windowSize": 24, "aggregations": _SUMS})
+    return df.select(F.col("window.start").alias("day_start"), "metrics.n", F.round("metrics.total", 4).alias("total"))
+
+
+@query(
+    "SELECT user_id, n, total FROM (SELECT user_id, (rn - 1) // 5 AS w, count(*) AS n, round(sum(value), 4) AS total"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1, 2) WHERE n = 5"
+)
+def agg_count_window(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "events"), "AGGREGATE", {"mode": "GROUPED", "groupBy": ["user_id"], "windowType": "COUNT", "countWindowSize": 5, "outputMode": "FLAT", "orderBy": ["ts", "event_id"], "aggregations": _SUMS})
+    return df.select("user_id", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "WITH w AS (SELECT *, date_trunc('day', ts) AS d FROM events) SELECT epoch_ms(d) AS windowStart, event_type, count(*) AS n, round(sum(value), 4) AS s, round(avg(value), 8) AS a, min(value) AS lo, max(value) AS hi, count(DISTINCT user_id) AS users,"
+    " arg_min(user_id, (ts, event_id)) AS f, arg_max(user_id, (ts, event_id)) AS l, array_to_string(list(event_id ORDER BY value DESC, ts, event_id)[1:3], ',') AS top, array_to_string(list(user_id ORDER BY ts, event_id), ',') AS ids FROM w GROUP BY d, event_type"
+)
+def agg_all_functions(spark: SparkSession, sf: str) -> DataFrame:
+    specs = [
+        {"function": "COUNT", "outputField": "n"},
+        *[{"function": f, "field": "value", "outputField": o} for f, o in (("SUM", "s"), ("AVG", "a"), ("MIN", "lo"), ("MAX", "hi"))],
+        *[{"function": f, "field": "user_id", "outputField": o} for f, o in (("COUNT_DISTINCT", "users"), ("FIRST_VALUE", "f"), ("LAST_VALUE", "l"), ("COLLECT_LIST", "ids"))],
+        {"function": "TOP_N", "field": "event_id", "sortField": "value", "limit": 3, "outputField": "top"},
+    ]
+    df = apply(table(spark, sf, "events"), "AGGREGATE", {**_TIMED, "mode": "GROUPED", "groupBy": ["event_type"], "windowSize": 24, "orderBy": ["ts", "event_id"], "aggregations": specs})
+    joined = lambda c: F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)
+    return df.select("windowStart", "event_type", "n", F.round("s", 4).alias("s"), F.round("a", 8).alias("a"), "lo", "hi", "users", "f", "l", joined("top"), joined("ids"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
+def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "events"), "DEDUPLICATE", {"keyFields": ["user_id", "event_type"], "ttlSeconds": 3600, "orderBy": ["ts", "event_id"]}).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def dedup_last(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "events"), "DEDUPLICATE", {"keyFields": ["user_id", "event_type"], "ttlSeconds": 3600, "keepStrategy": "LAST", "orderBy": ["ts", "event_id"]}).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn = 1")
+def dedup_event_time_latest(spark: SparkSession, sf: str) -> DataFrame:
+    config = {"keyFields": ["user_id"], "timeMode": "EVENT_TIME", "eventTimeField": "ts", "windowSeconds": 86400, "keepStrategy": "EVENT_TIME_LATEST", "orderBy": ["event_id"]}
+    return apply(table(spark, sf, "events"), "DEDUPLICATE", config).select("user_id", "event_id")
+
+
+_REGIONS = [{"key": str(i), "value": {"name": n, "wet": w}} for i, n, w in ((0, "south", True), (1, "west", False), (2, "east", True))]
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 2 THEN 'east' END AS region FROM nation")
+def lookup_enrich_nation(spark: SparkSession, sf: str) -> DataFrame:
+    entries = [{"key": e["key"], "value": e["value"]["name"]} for e in _REGIONS]
+    return apply(table(spark, sf, "nation"), "LOOKUP_ENRICH", {"sourceField": "n_regionkey", "targetField": "region", "entries": entries, "missingStrategy": "PUT_NULL"}).select("n_nationkey", "region")
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 2 THEN 'east' END AS name, CASE n_regionkey WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS wet FROM nation")
+def lookup_join_left(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "nation"), "LOOKUP_JOIN", {"sourceField": "n_regionkey", "targetField": "region", "entries": _REGIONS}).select("n_nationkey", "region.name", "region.wet")
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' ELSE 'east' END AS name FROM nation WHERE n_regionkey IN (0, 1, 2)")
+def lookup_join_inner(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "nation"), "LOOKUP_JOIN", {"sourceField": "n_regionkey", "targetField": "region", "entries": _REGIONS, "joinType": "INNER"}).select("n_nationkey", "region.name")
+
+
+def _interval(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    sides = {"left": events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), "right": events.where("event_type = 'error'").select("event_id", "user_id", "ts")}
+    config = {"leftKeyField": "user_id", "rightKeyField": "user_id", "targetField": "error", "joinType": kind, "timeMode": "EVENT_TIME", "leftTimeField": "ts", "rightTimeField": "ts", "timeUnit": "HOURS", "windowBefore": 1, "windowAfter": 1}
+    return apply(sides, "STREAM_JOIN", config).select("event_id", F.col("error.event_id").alias("error_id"))
+
+
+_NEAR = "ON l.user_id = r.user_id AND r.event_type = 'error' AND r.ts BETWEEN l.ts - INTERVAL 1 HOUR AND l.ts + INTERVAL 1 HOUR WHERE l.event_type = 'purchase'"
+
+
+@query(f"SELECT l.event_id, r.event_id AS error_id FROM events l JOIN events r {_NEAR}")
+def stream_join_inner(spark: SparkSession, sf: str) -> DataFrame:
+    return _interval(spark, sf, "INNER")
+
+
+@query(f"SELECT l.event_id, r.event_id AS error_id FROM events l LEFT JOIN events r {_NEAR}")
+def stream_join_left(spark: SparkSession, sf: str) -> DataFrame:
+    return _interval(spark, sf, "LEFT")
+
+
+@query("SELECT event_id, CASE WHEN value > 200 THEN 'high' END AS level FROM events WHERE value > 200 OR value < 1")
+def union_ports(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    high = apply(apply(events, "FILTER", {"condition": "value > 200"}, "true"), "PUT", {"field": "level", "value": "high"})
+    return union([high, apply(events, "FILTER", {"condition": "value < 1"}, "true")]).select("event_id", "level")
+
+
+@query("SELECT event_id, value * 2 + 1 AS score FROM events WHERE event_type <> 'error'")
+def custom_code_score(spark: SparkSession, sf: str) -> DataFrame:
+    def score(record: dict) -> dict | None:
+        return None if record["event_type"] == "error" else {"event_id": record["event_id"], "score": record["value"] * 2 + 1}
+
+    return apply(table(spark, sf, "events").select("event_id", "event_type", "value"), "CUSTOM_CODE", {"className": "score", "outputSchema": "event_id long, score double"}, score=score)
+
+
+def _round_trip(spark: SparkSession, df: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """Written by the file sink and read by the file source, in the shared folder."""
+    config = {**config, "path": f"{shared_folder(spark)}/sparkloom/files-{uuid.uuid4().hex}"}
+    write_files(df, config)
+    return read_files(spark, config, False)
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def file_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    config = {"file_format_type": "JSON", "schema": "c_custkey bigint, c_name string", "partition_by": ["c_mktsegment"], "parse_partition_from_path": True, "is_partition_field_write_in_file": False}
+    return _round_trip(spark, df, config).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT s_suppkey::VARCHAR AS s_suppkey, s_name FROM supplier")
+def file_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    config = {"file_format_type": "CSV", "csv_use_header_line": True, "field_delimiter": ",", "sink_columns": ["s_suppkey", "s_name"]}
+    return _round_trip(spark, table(spark, sf, "supplier"), config).select("s_suppkey", "s_name")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
