@@ -5,19 +5,24 @@ similarity of their sets reaches ``percent`` / 100.  Equal sets form a class and
 are handled once.  The join of the classes has three steps.
 
 1. *Blocks.*  Under one order of all shingles, linked sets share a shingle
-   among their first ``size - ceil(percent * size / 100) + 1``.  Each of these
-   is a block key.  The order puts shingles last that are frequent in a sample
-   of documents; any order is exact, this one keeps blocks small.  A block that
-   has the same members as another is dropped: blocks are compared by size and
-   128 bits of their members' hashes, without collecting a block anywhere.
-2. *R-tree.*  In a block, shingles are hashed into groups, and a set's group
-   counts are a point.  Points are packed into an R-tree by size.  The overlap
+   among their first ``size - ceil(percent * size / 100) + 1``.  The order puts
+   shingles last that are frequent in a sample of documents; any order is exact,
+   this one keeps blocks small.  The home of such a shingle is the smallest set
+   that has it, and a block is all sets of a band of sizes that share a shingle
+   with this home.  As near duplicates share most shingles, a set is in few
+   blocks; linked sets are in the same or adjacent bands, and a set also enters
+   the band below its own.
+2. *R-tree.*  Shingles are hashed into groups, and a set's group counts are a
+   point.  The points of a block are packed into an R-tree by size.  The overlap
    of two sets is at most the sum over coordinates of the smaller count, and of
    two tree nodes at most that of their largest counts; node and point pairs
-   below the overlap that a link needs are never looked at again.
-3. *Verification.*  Surviving pairs, best bound first, are compared exactly on
-   their shingles, unless links already found connect the two: the result is
-   the classes of linked documents, for which a spanning set of links is enough.
+   below the overlap that a link needs are never looked at again.  A first pass
+   over points alone keeps, of each block, the groups of sets connected by pairs
+   that are left; each group becomes a block of its own, once.
+3. *Verification.*  Only these sets' shingles are fetched.  With points of more
+   groups the pairs that survive, best bound first, are compared exactly on their
+   shingles, unless links already found connect the two: the result is the
+   classes of linked documents, for which a spanning set of links is enough.
 
 A block of more than ``tile`` members is cut into tiles, and each pair of tiles
 is a task of its own.  Components come from alternating large-star and small-star
@@ -36,6 +41,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +54,8 @@ from sparkloom.storage import stage, unstage
 
 #: Points of an R-tree leaf, and children of an inner node.
 FANOUT = 16
+#: Shingles a group of the points of the first pass, and bounds of the number of groups.
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 8, 64, 4096
 
 
 def needed_overlap(a, b, percent: int):
@@ -67,57 +75,106 @@ def block_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray) -> np.n
     return shingles[:length]
 
 
+def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
+
+
+def first_point(shingles: np.ndarray) -> np.ndarray:
+    """The point of the first pass; larger sets have more groups, always a power of two."""
+    groups = LEAST_GROUPS
+    while groups * PER_GROUP < len(shingles) and groups < MOST_GROUPS:
+        groups *= 2
+    return count_vector(shingles, groups)
+
+
+def packed(point: np.ndarray) -> bytes:
+    """A point in the narrowest integers that hold it, led by their size in bytes."""
+    size = 1 if point.max() < 1 << 8 else 2 if point.max() < 1 << 16 else 4
+    return bytes([size]) + point.astype(f"<u{size}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint32)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points over the fewest groups that any has: groups that agree modulo that number are added."""
+    groups = min(map(len, points))
+    return np.stack([p.reshape(-1, groups).sum(0) for p in points])
+
+
 class CountVectorTree:
     """R-tree over group counts; leaves hold sets of similar size."""
 
-    def __init__(self, sets: list[np.ndarray], groups: int) -> None:
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets])
+    def __init__(self, points: np.ndarray, percent: int, sides: np.ndarray | None = None) -> None:
+        """``points`` holds a row a set; with ``sides``, pairs are only sought across them."""
+        self.points, self.percent, self.sides = points.astype(np.int32), percent, sides
+        self.sizes = self.points.sum(1, dtype=np.int64)
         self.order = np.argsort(self.sizes, kind="stable")
-        self.points = np.stack([np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
-        # Levels from leaves up: (first child, end child, largest counts, least size, largest size).
-        starts = np.arange(0, len(sets), FANOUT)
-        ends = np.minimum(starts + FANOUT, len(sets))
-        points, sizes = self.points[self.order], self.sizes[self.order]
-        self.levels = [(starts, ends, np.maximum.reduceat(points, starts), sizes[starts], sizes[ends - 1])]
+        # Levels from leaves up: first child, end child, largest counts, least size, largest size.
+        starts = np.arange(0, len(points), FANOUT)
+        ends = np.minimum(starts + FANOUT, len(points))
+        ordered, sizes = self.points[self.order], self.sizes[self.order]
+        self.levels = [(starts, ends, np.maximum.reduceat(ordered, starts), sizes[starts], sizes[ends - 1])]
         while len(self.levels[-1][0]) > 1:
             _, _, most, low, high = self.levels[-1]
             starts = np.arange(0, len(most), FANOUT)
             ends = np.minimum(starts + FANOUT, len(most))
             self.levels.append((starts, ends, np.maximum.reduceat(most, starts), low[starts], high[ends - 1]))
 
-    def pairs(self, percent: int, sides: np.ndarray | None = None) -> Iterator[tuple[float, int, int]]:
-        """Pairs that the bounds leave, with the bound relative to the need; with ``sides``, across sides only."""
-        top = len(self.levels) - 1
-        stack = [(top, 0, 0)]
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs that the bounds leave: the bound relative to the need, and both sets."""
+        stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, a, b = stack.pop()
             starts, ends, most, low, high = self.levels[level]
-            if 100 * high[a] < percent * low[b] or 100 * high[b] < percent * low[a]:
+            if 100 * high[a] < self.percent * low[b] or 100 * high[b] < self.percent * low[a]:
                 continue
-            if np.minimum(most[a], most[b]).sum() < needed_overlap(int(low[a]), int(low[b]), percent):
+            if np.minimum(most[a], most[b]).sum() < needed_overlap(int(low[a]), int(low[b]), self.percent):
                 continue
             if level:
                 stack += [(level - 1, i, j) for i in range(starts[a], ends[a]) for j in range(starts[b], ends[b]) if a != b or j >= i]
             else:
-                yield from self._leaf_pairs(self.order[starts[a] : ends[a]], self.order[starts[b] : ends[b]], a == b, percent, sides)
+                yield self._leaf_pairs(self.order[starts[a] : ends[a]], self.order[starts[b] : ends[b]], a == b)
 
-    def _leaf_pairs(self, left: np.ndarray, right: np.ndarray, same: bool, percent: int, sides: np.ndarray | None) -> Iterator[tuple[float, int, int]]:
+    def _leaf_pairs(self, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bound = np.minimum(self.points[left][:, None, :], self.points[right][None, :, :]).sum(2)
-        need = needed_overlap(self.sizes[left][:, None], self.sizes[right][None, :], percent)
+        need = needed_overlap(self.sizes[left][:, None], self.sizes[right][None, :], self.percent)
         keep = bound >= need
         if same:
             keep &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-        if sides is not None:
-            keep &= sides[left][:, None] != sides[right][None, :]
-        for i, j in zip(*np.nonzero(keep), strict=True):
-            yield bound[i, j] / need[i, j], int(left[i]), int(right[j])
+        if self.sides is not None:
+            keep &= self.sides[left][:, None] != self.sides[right][None, :]
+        i, j = np.nonzero(keep)
+        return bound[i, j] / need[i, j], left[i], right[j]
+
+
+def candidate_groups(points: np.ndarray, percent: int, sides: np.ndarray | None = None) -> list[list[int]]:
+    """Sets connected by pairs that the bounds leave, in groups of two or more."""
+    parent = list(range(len(points)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for _, left, right in CountVectorTree(points, percent, sides).pairs():
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(points)):
+        groups.setdefault(root(i), []).append(i)
+    return [g for g in groups.values() if len(g) > 1]
 
 
 def spanning_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Exact links that connect all that is linked; with ``sides``, by links across sides."""
     largest = max(len(s) for s in sets)
-    tree = CountVectorTree(sets, int(min(256, max(16, 1 << (largest // 16).bit_length()))))
+    groups = int(min(1024, max(64, 1 << (4 * largest).bit_length())))
+    tree = CountVectorTree(np.stack([count_vector(s, groups) for s in sets]), percent, sides)
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -128,8 +185,10 @@ def spanning_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
 
     links = []
 
-    def verify(batch: list[tuple[float, int, int]]) -> None:
-        for _, i, j in sorted(batch, reverse=True):
+    def verify(batch: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        bound, left, right = (np.concatenate(x) for x in zip(*batch, strict=True))
+        for k in np.argsort(-bound, kind="stable").tolist():
+            i, j = int(left[k]), int(right[k])
             a, b = root(i), root(j)
             if a != b:
                 common = len(sets[i]) + len(sets[j]) - len(np.unique(np.concatenate([sets[i], sets[j]])))
@@ -137,30 +196,33 @@ def spanning_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
                     parent[max(a, b)] = min(a, b)
                     links.append((i, j))
 
-    batch: list[tuple[float, int, int]] = []
-    for pair in tree.pairs(percent, sides):
-        if root(pair[1]) != root(pair[2]):
-            batch.append(pair)
-        if len(batch) >= 50_000:  # bounds memory; what is verified, and how, stays the same
+    batch: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for pair in tree.pairs():
+        batch.append(pair)
+        waiting += len(pair[0])
+        if waiting >= 500_000:  # bounds memory; what is verified, and how, stays the same
             verify(batch)
-            batch = []
-    verify(batch)
+            batch, waiting = [], 0
+    if waiting:
+        verify(batch)
     return links
 
 
 def _sets_udf(n: int, percent: int, frequent):
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("size", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("size", pa.int64()), ("sig", pa.binary()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                sizes, sigs, keys = [], [], []
+                sizes, sigs, points, keys = [], [], [], []
                 for s in shingle_sets(batch["text"].to_pylist(), n):
                     sizes.append(len(s))
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    points.append(packed(first_point(s)))
                     keys.append(block_keys(s, percent, frequent.value).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -176,12 +238,12 @@ def _shingle_counts(n: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, n: int, sample: int = 10_000, share: float = 0.002) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, n: int, sample: int = 20_000, share: float = 0.0002) -> np.ndarray:
     """Shingles of at least ``share`` of a sample of about ``sample`` rows; they only set the order."""
     total = docs.count()
     draw = F.pmod(F.xxhash64(F.lit("frequent"), "row_key"), F.lit(1 << 30)) / float(1 << 30)
     counts = docs.where(draw < sample / max(total, 1)).select("text").mapInArrow(_shingle_counts(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    bound = max(10, int(share * min(total, sample)))
+    bound = max(4, int(share * min(total, sample)))
     rows = counts.where(F.col("n") >= bound).select("shingle").toPandas()  # at most mean set size / share
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
@@ -194,40 +256,79 @@ def _to_shingles(n: int):
     return run
 
 
-def _join_blocks(percent: int):
-    def links_of(members: dict[int, bytes], left: int, right: int, tiles: dict[int, int]) -> list[tuple[int, int]]:
-        ids = list(members)
-        if len(ids) < 2:
-            return []
-        sets = [np.frombuffer(members[i], np.uint64) for i in ids]
-        sides = None if left == right else np.array([tiles[i] == left for i in ids])
-        return [(ids[i], ids[j]) for i, j in spanning_links(sets, percent, sides)]
+BLOCK_KEY = ("home", "band", "left", "right")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[tuple[int, ...], list[int], list[bytes], np.ndarray | None]]:
+    """Blocks of sorted rows one by one: key, sets, their values, and their sides if the block is a pair of tiles."""
+    current, members, tiles = None, {}, {}
 
+    def block():
+        sides = None if current[2] == current[3] else np.array([tiles[i] == current[2] for i in members])
+        return current, list(members), list(members.values()), sides
+
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in (*BLOCK_KEY, "cid", "tile")]
+        for *key, cid, tile, v in zip(*columns, batch[value], strict=True):
+            if key != current:
+                if len(members) > 1:
+                    yield block()
+                current, members, tiles = key, {}, {}
+            members[cid], tiles[cid] = v.as_py(), tile
+    if len(members) > 1:
+        yield block()
+
+
+def _prune(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, members, tiles, found = None, {}, {}, []
+        rows: list[tuple[int, int, int]] = []
+        schema = pa.schema([("home", pa.int64()), ("band", pa.int32()), ("cid", pa.int64())])
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(schema.names)}, schema)
+            rows.clear()
+            return out
+
+        for (_, band, *_), ids, points, sides in _blocks(batches, "point"):
+            for group in candidate_groups(folded([unpacked(p) for p in points]), percent, sides):
+                # A group gets the home of its own smallest set, so that groups found in many blocks fall together.
+                home = min(ids[i] for i in group)
+                rows += [(home, band, ids[i]) for i in group]
+            if len(rows) > 50_000:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_pydict({"u": [a for a, _ in found], "v": [b for _, b in found]}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
             found.clear()
             return out
 
-        for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("token", "left", "right", "cid", "tile")]
-            for key, a, b, cid, tile, shingles in zip(*columns, batch["shingles"], strict=True):
-                if (key, a, b) != current:
-                    if current:
-                        found += links_of(members, current[1], current[2], tiles)
-                    current, members, tiles = (key, a, b), {}, {}
-                members[cid], tiles[cid] = shingles.as_py(), tile
+        for _, ids, values, sides in _blocks(batches, "shingles"):
+            found += [(ids[i], ids[j]) for i, j in spanning_links([np.frombuffer(v, np.uint64) for v in values], percent, sides)]
             if len(found) > 50_000:
                 yield flush()
-        if current:
-            found += links_of(members, current[1], current[2], tiles)
         yield flush()
 
     return run
 
 
+def _dealt(members: DataFrame, values: DataFrame, tile: int) -> DataFrame:
+    """Members with their values, sorted by block; large blocks are dealt to pairs of tiles."""
+    sizes = members.groupBy("home", "band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    tiles = F.ceil(F.col("members") / tile).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(2), "cid"), tiles.cast("long")).cast("int")
+    dealt = members.join(sizes, ["home", "band"]).withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("home", "band", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), "cid", "tile")
+    return dealt.join(values, "cid").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u, v``); the root is the smallest node of the component."""
     current = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
@@ -262,27 +363,27 @@ def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_c
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, shingle))
-    sets = stage(rows.mapInArrow(_sets_udf(shingle, percent, frequent), "doc_id long, row_key long, size long, sig binary, keys array<long>"), "join-sets")
+    sets = stage(rows.mapInArrow(_sets_udf(shingle, percent, frequent), "doc_id long, row_key long, size long, sig binary, point binary, keys array<long>"), "join-sets")
     lead = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")
-    classes = sets.where("size > 0").groupBy("sig").agg(F.min(lead).alias("lead"), F.max("size").alias("size"), F.first("keys").alias("keys"))
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "lead", "size", "keys"), "join-classes")
+    classes = sets.where("size > 0").groupBy("sig").agg(F.min(lead).alias("lead"), F.first("size").alias("size"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    # A little wider than the ratio of linked sizes, so that rounding never puts them two bands apart.
+    band = F.floor(F.log("size") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("size").cast("int")
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "lead", band.alias("band"), "point", "keys"), "join-classes")
 
     tokens = classes.select("cid", F.explode("keys").alias("token"))
-    census = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
-    blocks = stage(census.where("members > 1").groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", "members"), "join-blocks")
-    members = stage(tokens.join(blocks, "token").select("token", "members", "cid"), "join-members")
+    homes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("home")).where("n > 1").select("token", "home")
+    near = tokens.join(homes, "token").select("home", "cid").distinct().join(classes.select("cid", "band"), "cid")
+    near = stage(near.select("home", "cid", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")), "join-near")
+    alive = near.groupBy("home", "band").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("least")).where("n > 1 and least = band").select("home", "band")
+    members = stage(near.join(alive, ["home", "band"]).select("home", "band", "cid"), "join-members")
+
+    points = classes.select("cid", "point")
+    paired = stage(_dealt(members, points, tile).mapInArrow(_prune(percent), "home long, band int, cid long").distinct(), "join-paired")
 
-    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("lead.row_key").alias("row_key"))
+    wanted = classes.join(paired.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("lead.row_key").alias("row_key"))
     texts = rows.select("row_key", "text").join(wanted, "row_key").select("cid", "text").dropDuplicates(["cid"])
     shingles = stage(texts.mapInArrow(_to_shingles(shingle), "cid long, shingles binary"), "join-shingles")
-
-    tiles = F.ceil(F.col("members") / tile).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(2), "cid"), tiles.cast("long")).cast("int")
-    dealt = members.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("token", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), "cid", "tile")
-    full = dealt.join(shingles, "cid").select("token", "left", "right", "cid", "tile", "shingles")
-    ordered = full.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
-    links = stage(ordered.mapInArrow(_join_blocks(percent), "u long, v long"), "join-links")
+    links = stage(_dealt(paired, shingles, tile).mapInArrow(_verify(percent), "u long, v long"), "join-links")
 
     roots = stage(components(links), "join-roots")
     grouped = classes.join(roots, classes["cid"] == roots["node"], "left").select("sig", "lead", F.coalesce("root", "cid").alias("root"))
