@@ -185,7 +185,8 @@ def evaluate(inputs: Ports, config: dict, ctx: Context) -> Ports:
         return out((held.where(F.col("_value").isNotNull() | F.col("_value").isNull()) if strategy == "FAIL" else held).drop("_ok", "_value"))
     type_ = held.schema["_value"].dataType
     else_ = F.lit(None).cast(type_) if strategy == "PUT_NULL" else _kept(df, target, type_)
-    return out(assign(held, target, F.when(F.col("_ok"), F.col("_value")).otherwise(else_)).drop("_ok", "_value"))
+    value = F.col("_value") if strategy == "FAIL" else F.when(F.col("_ok"), F.col("_value")).otherwise(else_)
+    return out(assign(held, target, value).drop("_ok", "_value"))
 
 
 _DERIVED = {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second, "WEEK": F.weekofyear, "QUARTER": F.quarter, "DAY_OF_YEAR": F.dayofyear}

@@ -14,8 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 class CountWindows(StatefulProcessor):
     """Collects rows of a key and emits them, numbered by window, whenever ``size`` have come."""
 
-    def __init__(self, size: int, row: T.StructType) -> None:
-        self.size, self.row = size, row
+    def __init__(self, size: int, row: T.StructType, order: str) -> None:
+        self.size, self.row, self.order = size, row, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getListState("waiting", self.row)
@@ -23,7 +23,7 @@ class CountWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         names = self.row.fieldNames()
-        arrived = [tuple(r) for batch in rows for r in batch[names].sort_values("_order").itertuples(index=False)]
+        arrived = [tuple(r) for batch in rows for r in batch[names].sort_values(self.order).itertuples(index=False)]
         waiting = [*(tuple(r) for r in self.waiting.get()), *arrived]
         done = self.count.get()[0] if self.count.exists() else 0
         whole = len(waiting) // self.size * self.size
@@ -46,13 +46,13 @@ def count_windows(df: DataFrame, keys: list[str], size: int, order: str) -> Data
     Aggregating by key and ``_window`` downstream gives the window's result; a
     window that is not full is kept in the state and never emitted.
     """
-    keyed = df.withColumn("_order", F.col(order).cast("string")) if order != "_order" else df
+    keyed = df
     if not keys:
         keyed, keys = keyed.withColumn("_all", F.lit(0)), ["_all"]
     schema = keyed.schema
     result = T.StructType([*schema.fields, T.StructField("_window", T.LongType())])
-    out = keyed.groupBy(*keys).transformWithStateInPandas(CountWindows(size, schema), result, "Append", "None")
-    return out.drop("_order", "_all")
+    out = keyed.groupBy(*keys).transformWithStateInPandas(CountWindows(size, schema, order), result, "Append", "None")
+    return out.drop("_all")
 
 
 class Deduplicator(StatefulProcessor):
