@@ -238,12 +238,12 @@ def _shingle_counts(n: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, n: int, sample: int = 20_000, share: float = 0.0002) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, n: int, sample: int = 50_000, share: float = 0.00006) -> np.ndarray:
     """Shingles of at least ``share`` of a sample of about ``sample`` rows; they only set the order."""
     total = docs.count()
     draw = F.pmod(F.xxhash64(F.lit("frequent"), "row_key"), F.lit(1 << 30)) / float(1 << 30)
     counts = docs.where(draw < sample / max(total, 1)).select("text").mapInArrow(_shingle_counts(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    bound = max(4, int(share * min(total, sample)))
+    bound = max(3, int(share * min(total, sample)))
     rows = counts.where(F.col("n") >= bound).select("shingle").toPandas()  # at most mean set size / share
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
