@@ -89,5 +89,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mix": op1_mix, "op2_language": op2_language, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_neighbours": op5_neighbours, "op6_join": op6_join, "op7_shard": op7_shard, "op8_pii": op8_pii, "op9_toxicity": op9_toxicity, "op10_suffixes": op10_suffixes}
 
 
+#: Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more.
+JOIN_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), listed AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM worded
+), shingled AS MATERIALIZED (SELECT doc_id, unnest(s) AS shingle, len(s) AS size FROM listed),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 100 * count(*) >= 90 * (a.size + b.size - count(*))
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, v FROM reach JOIN links ON b = u)
+SELECT l.doc_id, CAST(len(l.s) AS BIGINT) AS n_shingles, c.component_id
+FROM listed l JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON l.doc_id = c.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_join": JOIN_SQL}

@@ -240,3 +240,16 @@ def test_queries_and_pipeline(spark, folder, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() > 0 and json.dumps(sorted(docs.columns))
+
+
+def test_join_sql(spark):
+    import duckdb
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no tables")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        wanted = db.execute(queries.oracle_sql()["op6_join"]).fetchall()
+    got = queries.op6_join(spark, str(folder)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
