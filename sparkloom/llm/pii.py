@@ -100,19 +100,26 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", found.alias("found")), "pii-scan")
 
 
-def cue_counts(docs: DataFrame, cues: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each of ``cues`` stands in all texts: ``cue, occurrences``."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[\x20\x09-\x0D]++")).alias("word"))
-    bare = F.regexp_replace("word", "[0-9]", "")
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).groupBy(bare.alias("cue")).agg(F.sum("n").alias("occurrences"))
-    return counts.join(cues, "cue", "left_semi")
+def cue_counts(docs: DataFrame, cues: DataFrame, text_col: str = "text", broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """How often each of ``cues`` stands in all texts: ``cue, occurrences``.
+
+    Words that are no cue are left out before the shuffle while the cues fit in
+    ``broadcast_bytes``; more cues meet the counts of all words after it.
+    """
+    bare = F.translate(F.lower(F.col(text_col)), "0123456789", "")
+    words = docs.select(F.explode(F.split(bare, r"[\x20\x09-\x0D]++")).alias("cue"))
+    size = cues.agg(F.sum(F.octet_length("cue") + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
+        words = words.join(F.broadcast(cues), "cue", "left_semi")
+    counts = words.groupBy("cue").agg(F.count(F.lit(1)).alias("occurrences"))
+    return counts if size <= broadcast_bytes else counts.join(cues, "cue", "left_semi")
 
 
 def bootstrap(scanned: DataFrame, docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_worth: float = 0.6, min_seeds: int = 5) -> DataFrame:
     """Cues that induce a pattern: ``cue, worth, seeds``."""
     edges = scanned.select(F.explode("found").alias("f")).select("f.cue", "f.value", "f.seed").where(F.col("cue").isNotNull())
     edges = stage(edges.groupBy("cue", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    seeded = edges.where("seed").groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds)
+    seeded = stage(edges.where("seed").groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds), "pii-seeded")
     counts = stage(cue_counts(docs, seeded.select("cue"), text_col).join(seeded, "cue"), "pii-cues")
     graph = edges.join(counts, "cue")
     belief = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))

@@ -69,6 +69,14 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert [(s["start"], s["end"]) for s in added[100]] == [(12, 22)] and not added[101]
 
 
+def test_cue_counts_agree_on_both_ways(spark, docs):
+    cues = spark.createDataFrame([("one",), ("wa",), ("absent",)], "cue string")
+    small, large = ({r["cue"]: r["occurrences"] for r in pii.cue_counts(docs, cues, broadcast_bytes=b).collect()} for b in (1 << 20, 0))
+    strip = str.maketrans("", "", "0123456789")
+    words = [w.lower().translate(strip) for r in corpus() for w in (r[1] or "").split()]
+    assert small == large == {c: words.count(c) for c in ("one", "wa")}
+
+
 def test_mix(spark, docs):
     slim = mixing.slim_rows(docs).cache()
     cuts = mixing.plan_mix(slim)
