@@ -5,13 +5,15 @@ similarity of their sets reaches ``percent`` / 100.  Equal sets form a class and
 are handled once.  The join of the classes has three steps.
 
 1. *Blocks.*  Under one order of all shingles, linked sets share a shingle
-   among their first ``size - ceil(percent * size / 100) + 1``.  The order puts
-   shingles last that are frequent in a sample of documents; any order is exact,
-   this one keeps blocks small.  The home of such a shingle is the smallest set
-   that has it, and a block is all sets of a band of sizes that share a shingle
-   with this home.  As near duplicates share most shingles, a set is in few
-   blocks; linked sets are in the same or adjacent bands, and a set also enters
-   the band below its own.
+   among their first ``size - ceil(percent * size / 100) + 1``, the prefix.  Any
+   order is exact.  Here shingles of a hash below a bound come first, those of
+   the fewest classes leading; they are counted over all classes, and the bound
+   is chosen so that they suffice for nearly all prefixes.  Shingles of a single
+   class fill most prefixes and link nothing, so that most sets are in no block.
+   The home of a shingle is the smallest set that has it, and a block is all
+   sets of a band of sizes that share a shingle with this home.  As near
+   duplicates share most shingles, a set is in few blocks; linked sets are in
+   the same or adjacent bands, and a set also enters the band below its own.
 2. *R-tree.*  Shingles are hashed into groups, and a set's group counts are a
    point.  The points of a block are packed into an R-tree by size.  The overlap
    of two sets is at most the sum over coordinates of the smaller count, and of
@@ -46,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.hashing import shingle_sets
@@ -63,16 +65,20 @@ def needed_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def block_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set in the order that puts ``frequent`` ones last."""
+def prefix_length(size, percent: int):
+    """How many first shingles of a set of ``size`` any linked set must meet."""
+    return size - -(-percent * size // 100) + 1
+
+
+def counted_below(percent: int, counted: float) -> np.uint64:
+    """The hash below which shingles are counted: ``counted`` times the share of shingles in a prefix."""
+    return np.uint64(min((1 << 64) - 1, int(max(counted * (100 - percent), 1) / 100 * (1 << 64))))
+
+
+def block_keys(shingles: np.ndarray, percent: int, below: np.uint64) -> np.ndarray:
+    """The counted shingles of a sorted set, and the next ones where they are fewer than the prefix."""
     n = len(shingles)
-    if not n:
-        return shingles
-    length = n - -(-percent * n // 100) + 1
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
-        shingles = np.concatenate([shingles[~late], shingles[late]])
-    return shingles[:length]
+    return shingles[: max(prefix_length(n, percent), int(np.searchsorted(shingles, below)))] if n else shingles
 
 
 def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
@@ -209,7 +215,7 @@ def spanning_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
     return links
 
 
-def _sets_udf(n: int, percent: int, frequent):
+def _sets_udf(n: int, percent: int, below: np.uint64):
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("size", pa.int64()), ("sig", pa.binary()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,31 +227,33 @@ def _sets_udf(n: int, percent: int, frequent):
                     sizes.append(len(s))
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     points.append(packed(first_point(s)))
-                    keys.append(block_keys(s, percent, frequent.value).view(np.int64))
+                    keys.append(block_keys(s, percent, below).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _shingle_counts(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                sets = [*shingle_sets(whole["text"].slice(at, 1000).to_pylist(), n)]
-                values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"])
-
-    return run
+def prefix_shingles(classes: DataFrame, percent: int, share: float = 0.00001) -> DataFrame:
+    """``cid, home`` for each shingle of a class's prefix that another class has too.
 
-
-def frequent_shingles(docs: DataFrame, n: int, sample: int = 50_000, share: float = 0.00006) -> np.ndarray:
-    """Shingles of at least ``share`` of a sample of about ``sample`` rows; they only set the order."""
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit("frequent"), "row_key"), F.lit(1 << 30)) / float(1 << 30)
-    counts = docs.where(draw < sample / max(total, 1)).select("text").mapInArrow(_shingle_counts(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    bound = max(3, int(share * min(total, sample)))
-    rows = counts.where(F.col("n") >= bound).select("shingle").toPandas()  # at most mean set size / share
-    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+    Shingles of at least ``share`` of all rows are at most 1 / ``share`` in
+    number and are broadcast, so that none of them meets in one task; the others
+    are joined by a shuffle.
+    """
+    tokens = classes.select("cid", "size", F.size("keys").alias("n_keys"), F.explode("keys").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("home")).where("n > 1")
+    shared = stage(shared, "join-shared")
+    total = classes.agg(F.sum(F.size("keys"))).collect()[0][0] or 0
+    bound = max(2, math.ceil(share * total))
+    hot = F.broadcast(shared.where(F.col("n") >= bound))
+    slim = tokens.select("cid", "token")
+    held = slim.join(hot, "token").union(slim.join(hot, "token", "left_anti").join(shared.where(F.col("n") < bound), "token"))
+    held = held.select("cid", "n", "token", "home").join(classes.select("cid", "size", F.size("keys").alias("n_keys")), "cid")
+    # Shingles of this class alone lead the order; what is left of the prefix are shared ones, rarest first.
+    alone = F.col("n_keys") - F.count(F.lit(1)).over(Window.partitionBy("cid"))
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("n", "token"))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return held.withColumn("rank", rank + alone).where(F.col("rank") <= prefix).select("cid", "home").distinct()
 
 
 def _to_shingles(n: int):
@@ -354,25 +362,23 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select("v", "v").distinct())
 
 
-def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096) -> DataFrame:
+def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096, counted: float = 1.25) -> DataFrame:
     """One row a document: ``doc_id, row_key, size, component_id, keeper``.
 
     ``row_key`` is a hash of id and text; ``keeper`` marks the row (or repeated
-    rows) of each component that has the smallest id.
+    rows) of each component that has the smallest id.  ``counted`` sets how many
+    shingles are counted: that many times those in a prefix.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, shingle))
-    sets = stage(rows.mapInArrow(_sets_udf(shingle, percent, frequent), "doc_id long, row_key long, size long, sig binary, point binary, keys array<long>"), "join-sets")
+    below = counted_below(percent, counted)
+    sets = stage(rows.mapInArrow(_sets_udf(shingle, percent, below), "doc_id long, row_key long, size long, sig binary, point binary, keys array<long>"), "join-sets")
     lead = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")
     classes = sets.where("size > 0").groupBy("sig").agg(F.min(lead).alias("lead"), F.first("size").alias("size"), F.first("point").alias("point"), F.first("keys").alias("keys"))
     # A little wider than the ratio of linked sizes, so that rounding never puts them two bands apart.
     band = F.floor(F.log("size") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("size").cast("int")
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "lead", band.alias("band"), "point", "keys"), "join-classes")
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "lead", "size", band.alias("band"), "point", "keys"), "join-classes")
 
-    tokens = classes.select("cid", F.explode("keys").alias("token"))
-    homes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("home")).where("n > 1").select("token", "home")
-    near = tokens.join(homes, "token").select("home", "cid").distinct().join(classes.select("cid", "band"), "cid")
+    near = prefix_shingles(classes, percent).join(classes.select("cid", "band"), "cid")
     near = stage(near.select("home", "cid", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")), "join-near")
     alive = near.groupBy("home", "band").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("least")).where("n > 1 and least = band").select("home", "band")
     members = stage(near.join(alive, ["home", "band"]).select("home", "band", "cid"), "join-members")

@@ -132,6 +132,24 @@ def test_join(spark, docs, n, percent):
     assert len(whole) == docs.count() and {r["component_id"] for r in whole if r["doc_id"] is None} == {6}
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (3, 100)])
+def test_join_of_edited_copies(spark, n, percent):
+    """Copies with one to many changed words, around the limit, and passages that many texts share."""
+    rng = np.random.default_rng(percent)
+    texts = []
+    for k in range(12):
+        base = prose(500 + k, int(rng.integers(3, 250))).split()
+        for edits in (0, 1, 2, 4, 8, 12):
+            copy = list(base)
+            for at in rng.integers(0, len(base), edits if len(base) > 20 else edits // 4):
+                copy[at] = f"edit{rng.integers(1000)}"
+            texts.append(" ".join(copy))
+    texts += [prose(600 + k, 30) + " " + prose(700, 150) + " " + prose(800 + k, 30) for k in range(20)]
+    rows = list(enumerate(texts))
+    linked = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), shingle=n, percent=percent).collect()
+    assert {r["doc_id"]: (r["size"], r["component_id"]) for r in linked} == brute.jaccard_components(rows, n, percent)
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
