@@ -5,8 +5,9 @@ stand and are the seeds of the bootstrap.  A *cue* is the word before an
 identifier; an *instance* is an identifier, known or merely looking like one (a
 token with digits).  Spark scores the graph of cues and instances in rounds:
 
-* a cue is worth the confidence of its distinct instances, divided by how often
-  the cue stands in the whole corpus, so that common words score near 0;
+* a cue is worth the confidence of its instances, each as often as it stands
+  behind the cue, divided by how often the cue stands in the whole corpus, so
+  that common words score near 0 and copies change nothing;
 * an instance is worth ``1 - product(1 - worth)`` over its cues; seeds stay 1.
 
 Cues with enough distinct seeds and worth induce patterns; what looks like an
@@ -17,8 +18,8 @@ driver.
 Defined results
 ---------------
 * null text counts as empty: no spans, the digest is that of the empty string;
-* repeated rows count once for each row in corpus statistics, and their values
-  once as instances; ids may be null or repeated, rows are told apart by a row
+* repeated rows count once for each row in corpus statistics, above and below the
+  line; their values are one instance, and one seed, however often they stand; ids may be null or repeated, rows are told apart by a row
   number given when the scan is written;
 * extra columns are not read; an empty table gives an empty result.
 """
@@ -96,7 +97,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.select("doc_id", base.alias("base"), *all_)
     unseen = F.filter("looks", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     as_instance = lambda s, seed: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("value"), cue_of(s["left"]).alias("cue"), F.lit(seed).alias("seed"))
-    found = F.concat(*[F.transform(k, lambda s: as_instance(s, True)) for k in PATTERNS], F.transform(unseen, lambda s: as_instance(s, False)))
+    # Digits that begin an address are no instance beside it: a cue has one instance behind it.
+    first = lambda k: F.col(k) if k == "email" else F.filter(k, lambda s: ~F.exists("email", lambda e: e["start"] == s["start"]))
+    found = F.concat(*[F.transform(first(k), lambda s: as_instance(s, True)) for k in PATTERNS], F.transform(unseen, lambda s: as_instance(s, False)))
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", found.alias("found")), "pii-scan")
 
 
@@ -118,14 +121,14 @@ def cue_counts(docs: DataFrame, cues: DataFrame, text_col: str = "text", broadca
 def bootstrap(scanned: DataFrame, docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_worth: float = 0.6, min_seeds: int = 5) -> DataFrame:
     """Cues that induce a pattern: ``cue, worth, seeds``."""
     edges = scanned.select(F.explode("found").alias("f")).select("f.cue", "f.value", "f.seed").where(F.col("cue").isNotNull())
-    edges = stage(edges.groupBy("cue", "value").agg(F.max("seed").alias("seed")), "pii-edges")
+    edges = stage(edges.groupBy("cue", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-edges")
     seeded = stage(edges.where("seed").groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds), "pii-seeded")
     counts = stage(cue_counts(docs, seeded.select("cue"), text_col).join(seeded, "cue"), "pii-cues")
     graph = edges.join(counts, "cue")
     belief = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     worth = None
     for i in range(rounds):
-        total = graph.join(belief, "value").groupBy("cue").agg(F.sum("belief").alias("support"), F.first("occurrences").alias("occurrences"), F.first("seeds").alias("seeds"))
+        total = graph.join(belief, "value").groupBy("cue").agg(F.sum(F.col("n") * F.col("belief")).alias("support"), F.first("occurrences").alias("occurrences"), F.first("seeds").alias("seeds"))
         worth = stage(total.select("cue", "seeds", F.least(F.lit(0.999), F.col("support") / (F.col("occurrences") + 1)).alias("worth")), f"pii-round-{i}")
         doubt = F.exp(F.sum(F.log1p(-F.coalesce("worth", F.lit(0.0)))))
         belief = edges.join(worth.select("cue", "worth"), "cue", "left").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("belief"))

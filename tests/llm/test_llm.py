@@ -69,6 +69,21 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert [(s["start"], s["end"]) for s in added[100]] == [(12, 22)] and not added[101]
 
 
+@pytest.mark.parametrize(("seeds", "times", "copies"), [(20, 1, 3000), (20, 2, 1), (6, 50, 1)])
+def test_copies_and_repeated_values_keep_a_cue(spark, seeds, times, copies):
+    texts = [f"customerid: user{i}@mail.org and more" for i in range(seeds) for _ in range(times)] + ["customerid: other@mail.org again"] * copies
+    rows = [*enumerate(texts, 1), (0, "customerid: 77A-413B-9 here")]
+    found = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(s["start"], s["end"]) for s in found.where("doc_id = 0").first()["added"]] == [(12, 22)]
+
+
+def test_copies_do_not_make_a_cue(spark):
+    """Copies of too few seeds, and a common word before identifiers, induce nothing."""
+    texts = [f"rare: user{i % 4}@mail.org" for i in range(100)] + [f"the user{i}@mail.org" for i in range(20)] + ["the other word"] * 40
+    rows = [*enumerate(texts, 2), (0, "rare: 77A-413B-9"), (1, "the 77A-413B-9")]
+    assert not any(r["added"] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_cue_counts_agree_on_both_ways(spark, docs):
     cues = spark.createDataFrame([("one",), ("wa",), ("absent",)], "cue string")
     small, large = ({r["cue"]: r["occurrences"] for r in pii.cue_counts(docs, cues, broadcast_bytes=b).collect()} for b in (1 << 20, 0))
