@@ -2,7 +2,7 @@
 
 Fixed formats (``email``, ``ip``, ``card``, ``phone``) are reported as they
 stand and are the seeds of the bootstrap.  A *cue* is the word before an
-identifier; an *instance* is an identifier, known or merely looking like one (a
+identifier, or what stands before it in its own word (``tel:+49...``); an *instance* is an identifier, known or merely looking like one (a
 token with digits).  Spark scores the graph of cues and instances in rounds:
 
 * a cue is worth the confidence of its instances, each as often as it stands
@@ -44,6 +44,9 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
 #: Token that looks like an identifier: six characters or more, one a digit.
 LOOKS = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]*+[0-9])[A-Za-z0-9._@+/-]{6,}+"
+#: Places inside a lower-cased word where an identifier can start, and words that have one.
+STARTS = "(?<=[^a-z0-9])(?!$)|(?<=[a-z])(?=[0-9+])"
+HAS_START = "[^a-z0-9].|[a-z][0-9+]"
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -80,7 +83,7 @@ def _validator(kind: str) -> Callable[[Column], Column]:
 
 def cue_of(left: Column) -> Column:
     """The word before a match, lower-cased, without digits; null if there is none."""
-    word = F.lower(F.regexp_extract(left, r"(\S++)[\x20\x09-\x0D]*+$", 1))
+    word = F.lower(F.regexp_extract(left, r"(?<!\S)(\S++)[\x20\x09-\x0D]*+$", 1))
     return F.nullif(F.regexp_replace(word, "[0-9]", ""), F.lit(""))
 
 
@@ -90,40 +93,59 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     all_ = PATTERNS | {"looks": LOOKS}
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", *[matches(F.col("text"), p).alias(f"m_{k}") for k, p in all_.items()])
-    rows = rows.select("doc_id", *[locate(F.col("text"), p, F.col(f"m_{k}")).alias(k) for k, p in all_.items()])
+    rows = rows.select("doc_id", *[locate(F.col("text"), p, F.col(f"m_{k}"), cue_of).alias(k) for k, p in all_.items()])
     for kind in PATTERNS:
         rows = rows.withColumn(kind, F.filter(kind, _validator(kind)))
     base = F.concat(*[tagged(F.col(k), i) for i, k in enumerate(PATTERNS)])
     rows = rows.select("doc_id", base.alias("base"), *all_)
     unseen = F.filter("looks", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    as_instance = lambda s, seed: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("value"), cue_of(s["left"]).alias("cue"), F.lit(seed).alias("seed"))
+    as_instance = lambda s, seed: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("value"), s["left"].alias("cue"), F.lit(seed).alias("seed"))
     # Digits that begin an address are no instance beside it: a cue has one instance behind it.
     first = lambda k: F.col(k) if k == "email" else F.filter(k, lambda s: ~F.exists("email", lambda e: e["start"] == s["start"]))
     found = F.concat(*[F.transform(first(k), lambda s: as_instance(s, True)) for k in PATTERNS], F.transform(unseen, lambda s: as_instance(s, False)))
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", found.alias("found")), "pii-scan")
 
 
+def cues_in(word: Column, longest: int) -> Column:
+    """The lower-cased word, and its parts up to every place where an identifier can start, without digits.
+
+    Every piece but the last has a character that is no digit, so ``longest`` pieces make the longest cue.
+    """
+    bare = F.translate(word, "0123456789", "")
+
+    def step(acc: Column, piece: Column) -> Column:
+        part = F.concat(acc["part"], F.translate(piece, "0123456789", ""))
+        longer = F.struct(part.alias("part"), F.concat(acc["out"], F.array(part)).alias("out"))
+        return F.when(F.length(acc["part"]) < longest, longer).otherwise(acc)
+
+    start = F.struct(F.lit("").alias("part"), F.array(bare).alias("out"))
+    parts = F.aggregate(F.slice(F.split(word, STARTS, longest + 1), 1, longest), start, step, lambda acc: F.array_distinct(acc["out"]))
+    return F.when(word.rlike(HAS_START), parts).otherwise(F.array(bare))
+
+
 def cue_counts(docs: DataFrame, cues: DataFrame, text_col: str = "text", broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """How often each of ``cues`` stands in all texts: ``cue, occurrences``.
+    """In how many words of all texts each of ``cues`` stands, alone or attached: ``cue, occurrences``.
 
     Words that are no cue are left out before the shuffle while the cues fit in
     ``broadcast_bytes``; more cues meet the counts of all words after it.
     """
-    bare = F.translate(F.lower(F.col(text_col)), "0123456789", "")
-    words = docs.select(F.explode(F.split(bare, r"[\x20\x09-\x0D]++")).alias("cue"))
-    size = cues.agg(F.sum(F.octet_length("cue") + 32)).first()[0] or 0
-    if size <= broadcast_bytes:
+    size, longest = cues.agg(F.sum(F.octet_length("cue") + 32), F.max(F.length("cue"))).first()
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[\x20\x09-\x0D]++")).alias("word"))
+    words = words.select(F.explode(cues_in(F.col("word"), longest or 1)).alias("cue"))
+    if (size or 0) <= broadcast_bytes:
         words = words.join(F.broadcast(cues), "cue", "left_semi")
     counts = words.groupBy("cue").agg(F.count(F.lit(1)).alias("occurrences"))
-    return counts if size <= broadcast_bytes else counts.join(cues, "cue", "left_semi")
+    return counts if (size or 0) <= broadcast_bytes else counts.join(cues, "cue", "left_semi")
 
 
 def bootstrap(scanned: DataFrame, docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_worth: float = 0.6, min_seeds: int = 5) -> DataFrame:
     """Cues that induce a pattern: ``cue, worth, seeds``."""
     edges = scanned.select(F.explode("found").alias("f")).select("f.cue", "f.value", "f.seed").where(F.col("cue").isNotNull())
     edges = stage(edges.groupBy("cue", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-edges")
-    seeded = stage(edges.where("seed").groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds), "pii-seeded")
-    counts = stage(cue_counts(docs, seeded.select("cue"), text_col).join(seeded, "cue"), "pii-cues")
+    seeded = stage(edges.groupBy("cue").agg(F.count_if("seed").alias("seeds"), F.sum("n").alias("behind")).where(F.col("seeds") >= min_seeds), "pii-seeded")
+    # A cue between two identifiers of one word is the start of no word: it stands at least as often as its instances.
+    stands = F.greatest(F.coalesce("occurrences", F.lit(0)), F.col("behind")).alias("occurrences")
+    counts = stage(seeded.join(cue_counts(docs, seeded.select("cue"), text_col), "cue", "left").select("cue", "seeds", stands), "pii-cues")
     graph = edges.join(counts, "cue")
     belief = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     worth = None

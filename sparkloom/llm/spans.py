@@ -10,13 +10,11 @@ run without recursion, and a run of characters is read once, however long.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters to the left of a match that are kept with it.
-LEFT = 48
 SPAN_TYPE = "array<struct<start:int,end:int,match:string,left:string>>"
 
 
@@ -25,13 +23,17 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
-def locate(text: Column, pattern: str, found: Column) -> Column:
-    """``found`` (see ``matches``) with start, end (exclusive) and the text just before."""
+def nothing(gap: Column) -> Column:
+    return F.lit(None).cast("string")
+
+
+def locate(text: Column, pattern: str, found: Column, left: Callable[[Column], Column] = nothing) -> Column:
+    """``found`` (see ``matches``) with start, end (exclusive) and ``left`` of all text back to the match before."""
 
     def step(acc: Column, piece: Column) -> Column:
         start = acc["pos"] + F.length(piece["gap"])
         end = start + F.length(piece["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"), F.right(piece["gap"], F.lit(LEFT)).alias("left"))
+        span = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"), left(piece["gap"]).alias("left"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     empty = F.array().cast(SPAN_TYPE)

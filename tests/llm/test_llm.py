@@ -84,6 +84,29 @@ def test_copies_do_not_make_a_cue(spark):
     assert not any(r["added"] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+@pytest.mark.parametrize("cue", ["customerid:", "user_id=", "(", "x" * 60 + ":", "e-mail:", "x" * 60 + " "])
+def test_attached_and_long_cues(spark, cue):
+    texts = [f"see {cue}user{i}@mail.org and more" for i in range(20)]
+    rows = [*enumerate(texts, 2), (0, f"see {cue}77A-413B-9 here"), (1, "nothing 77A-413B-9 y:77A-413B-9")]
+    added = {r["doc_id"]: r["added"] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"]) for s in added[0]] == [(4 + len(cue), 14 + len(cue))] and not added[1]
+
+
+def test_common_start_of_words_is_no_cue(spark):
+    texts = [f"see (user{i}@mail.org) and more" for i in range(20)] + ["see (here) and (there)"] * 40
+    rows = [*enumerate(texts, 1), (0, "see (77A-413B-9) here")]
+    assert not any(r["added"] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_attached_cues_are_counted(spark):
+    texts = ["tel:+49 TEL: tel:x tel tel5 (tel:5 tel+4 a,b,c a1b2c3", None, "x-y-z " * 3]
+    cues = ["tel:", "tel", "(", "(tel:", "a,", "a,b,", "a", "ab", "abc", "x-", "x-y-", "x-y-z"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for b in (1 << 20, 0):
+        got = {r["cue"]: r["occurrences"] for r in pii.cue_counts(docs, spark.createDataFrame([(c,) for c in cues], "cue string"), broadcast_bytes=b).collect()}
+        assert got == {"tel:": 3, "tel": 3, "(": 1, "(tel:": 1, "a,": 1, "a,b,": 1, "a": 1, "ab": 1, "abc": 1, "x-": 3, "x-y-": 3, "x-y-z": 3}
+
+
 def test_cue_counts_agree_on_both_ways(spark, docs):
     cues = spark.createDataFrame([("one",), ("wa",), ("absent",)], "cue string")
     small, large = ({r["cue"]: r["occurrences"] for r in pii.cue_counts(docs, cues, broadcast_bytes=b).collect()} for b in (1 << 20, 0))
