@@ -7,8 +7,9 @@ query probes its nearest lists until they hold ``probe_share`` of all vectors
 block: after ``d`` of ``D`` columns, a candidate whose partial squared distance
 exceeds ``radius**2 * d / D * (1 + eps / sqrt(d))**2`` is abandoned, as the
 hypothesis that its full distance is within the query's current radius can be
-rejected.  Candidates that survive all blocks are measured exactly on the
-original vectors.
+rejected.  Every bound is widened by what rotation can round, so that rounding
+alone abandons no candidate.  Candidates that survive all blocks are measured
+exactly on the original vectors.
 
 Rotation and centres are fitted on a bounded sample of ``sample`` vectors drawn
 by a hash; every vector is indexed.  A list of many vectors is split in parts
@@ -40,6 +41,8 @@ from sparkloom.storage import stage
 
 #: Columns in the first block; every next block is twice as wide.
 FIRST_BLOCK = 8
+#: Share of the squared lengths by which rotated distances may be off; no candidate is abandoned for less.
+ROUNDING = 1e-12
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -85,8 +88,8 @@ def column_blocks(dim: int) -> list[tuple[int, int]]:
     return out
 
 
-def scan_list(query: np.ndarray, rotated: np.ndarray, radius: float, eps: float) -> np.ndarray:
-    """Rows of ``rotated`` that no test abandons for a query with this radius."""
+def scan_list(query: np.ndarray, rotated: np.ndarray, radius: float, eps: float, slack: np.ndarray) -> np.ndarray:
+    """Rows of ``rotated`` that no test abandons for a query with this radius; every bound is wider by a row's ``slack``."""
     dim = len(query)
     alive = np.arange(len(rotated))
     partial = np.zeros(len(rotated))
@@ -94,8 +97,8 @@ def scan_list(query: np.ndarray, rotated: np.ndarray, radius: float, eps: float)
         partial = partial + ((rotated[alive, a:b] - query[a:b]) ** 2).sum(1)
         if math.isfinite(radius):
             bound = radius**2 * (b / dim) * ((1 + eps / math.sqrt(b)) ** 2 if b < dim else 1 + 1e-9)
-            keep = partial <= bound
-            alive, partial = alive[keep], partial[keep]
+            keep = partial <= bound + slack
+            alive, partial, slack = alive[keep], partial[keep], slack[keep]
     return alive
 
 
@@ -109,14 +112,16 @@ def _search_part(k: int, eps: float, rotation: np.ndarray):
         if len(queries) and len(rows):
             data = np.stack(rows["vector"].to_numpy())
             rotated, ids = data @ rotation, rows["vec_id"].to_numpy()
+            lengths = (rotated**2).sum(1)
             first = min(len(data), max(8 * k, 64))
             for qid, vector in zip(queries["query_id"], queries["query"], strict=True):
                 q = np.asarray(vector)
                 turned = q @ rotation
+                slack = ROUNDING * ((q**2).sum() + lengths)
                 best_d, best_i = np.empty(0), np.empty(0, np.int64)
                 radius, step = math.inf, first
                 for start in range(0, len(data), step):
-                    near = start + scan_list(turned, rotated[start : start + step], radius, eps)
+                    near = start + scan_list(turned, rotated[start : start + step], radius, eps, slack[start : start + step])
                     near = near[ids[near] != qid]
                     d, i = np.concatenate([best_d, exact(q, data[near])]), np.concatenate([best_i, ids[near]])
                     order = np.lexsort((i, d))[:k]

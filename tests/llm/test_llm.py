@@ -264,6 +264,19 @@ def test_neighbours(spark):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_of_copies_have_the_smallest_ids(spark):
+    rng = np.random.default_rng(1)
+    points = rng.standard_normal((300, 64))
+    copies = rng.permutation(np.arange(1000, 1300))
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(int(i), points[7].tolist()) for i in copies]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    found = neighbours.search(vectors, F.col("vec_id").isin(7, 1000, 1299)).collect()
+    near = [7, *range(1000, 1300)]
+    for q in (7, 1000, 1299):
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert got == [(n + 1, i, 0.0) for n, i in enumerate([i for i in near if i != q][:10])]
+
+
 def test_language(spark):
     rows = [(i, " ".join(np.random.default_rng(i).choice(v, 60)), lang) for lang, v, at in (("aa", ["banana", "cabana", "havana"], 0), ("bb", ["totem", "motet", "tempo"], 1)) for i in range(at, 40, 2)]
     model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
