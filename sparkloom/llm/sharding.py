@@ -3,7 +3,10 @@
 Rows with equal texts form an atomic group.  Groups are ordered by the digest
 of their text, and the ordered line of group sizes is cut into contiguous
 shards.  The capacity is the smallest for which a greedy fill needs no more
-than the wanted number of shards, found by binary search.
+than the wanted number of shards, found by binary search.  Of all cuts of that
+capacity the one with the least sum of squared shard sizes is taken, so that the
+shards below the capacity are as even as can be, and none is empty while there
+are groups enough.
 
 The driver never sees a row a group.  It gets one row for each of ``16 **
 PREFIX`` digest prefixes.  A first search over whole prefixes bounds the
@@ -15,7 +18,8 @@ Defined results
 * null text: no bytes, size 1, no checksum; null texts are one group, which is
   not the group of empty texts;
 * repeated rows and equal texts stay in one shard, so a group larger than a
-  shard's even part sets the capacity alone;
+  shard's even part sets the capacity and has a shard alone, and the others
+  share the rest evenly;
 * slots number the rows of a shard from 0; rows that agree in text and id are
   interchangeable; an empty table gives an empty result;
 * extra columns are not read.
@@ -26,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +69,44 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
+def even_cuts(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """Ends (exclusive) of contiguous shards of at most ``capacity`` with the least sum of squares.
+
+    Needs a capacity for which ``greedy_cuts`` succeeds.  The best start of a
+    shard never moves left as its end moves right, which halves the choices left
+    at every step.
+    """
+    n, upto = len(sizes), np.array([0, *accumulate(sizes)], dtype=np.int64)
+    shards = min(shards, n)
+    left = np.searchsorted(upto, upto - capacity)  # the first start that a shard with this end can have
+    # Ends that shard i can have: within reach from the left, and so that the rest can be cut.
+    last, first = [0], [n]
+    for i in range(1, shards + 1):
+        last.append(min(int(np.searchsorted(upto, upto[last[-1]] + capacity, "right")) - 1, n - shards + i))
+        first.append(max(int(left[first[-1]]), shards - i))
+    first.reverse()
+    cost, starts = np.zeros(n + 1), []
+    for i in range(1, shards + 1):
+        new, start = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+        open_ = [(first[i], last[i], first[i - 1], last[i - 1])]
+        while open_:
+            a, b, low, high = open_.pop()
+            if a > b:
+                continue
+            end = (a + b) // 2
+            x, y = max(low, int(left[end])), min(high, end - 1)
+            sums = cost[x : y + 1] + (upto[end] - upto[x : y + 1]).astype(float) ** 2
+            best = x + int(sums.argmin())
+            new[end], start[end] = sums[best - x], best
+            open_ += [(a, end - 1, low, best), (end + 1, b, best, high)]
+        cost = new
+        starts.append(start)
+    ends = [n] if n else []
+    for start in reversed(starts[1:]):
+        ends.append(int(start[ends[-1]]))
+    return ends[::-1]
+
+
 def _open_prefixes(sizes: list[int], largest: int, shards: int) -> set[int]:
     """Indexes of prefixes in which a cut can lie for any capacity that is still possible."""
     upto = [0, *accumulate(sizes)]
@@ -93,7 +136,7 @@ def plan_shards(groups: DataFrame, shards: int) -> list[str]:
     for r in totals:
         line += sorted(inside[r["prefix"]]) if r["prefix"] in inside else [(r["prefix"], int(r["size"]))]
     sizes = [s for _, s in line]
-    ends = greedy_cuts(sizes, smallest_capacity(sizes, shards), shards)
+    ends = even_cuts(sizes, smallest_capacity(sizes, shards), shards)
     return [line[e][0] for e in ends if e < len(line)]
 
 

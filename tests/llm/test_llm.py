@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
@@ -160,6 +161,30 @@ def test_smallest_capacity():
         assert sharding.smallest_capacity(sizes, shards) == best
 
 
+def test_even_cuts():
+    """Against all cuts of the smallest capacity."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = rng.integers(1, [30, 3][int(rng.integers(2))], rng.integers(1, 12)).tolist()
+        if rng.integers(2):
+            sizes[int(rng.integers(len(sizes)))] = 60
+        shards = min(int(rng.integers(1, 6)), len(sizes))
+        capacity = sharding.smallest_capacity(sizes, shards)
+        sums = lambda ends: [sum(sizes[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        all_ = [sums([*c, len(sizes)]) for c in combinations(range(1, len(sizes)), shards - 1)]
+        best = min(sum(s * s for s in c) for c in all_ if max(c) <= capacity)
+        got = sums(sharding.even_cuts(sizes, capacity, shards))
+        assert max(got) <= capacity and min(got) > 0 and sum(s * s for s in got) == best
+
+
+def test_shards_beside_a_hot_group(spark):
+    texts = ["hot text " * 20] * 100 + [prose(i, 30) for i in range(300)]
+    rows = sharding.shard_rows(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 8).collect()
+    sizes = sorted(sum(r["size"] for r in rows if r["shard"] == s) for s in range(8))
+    even = sum(sizes[:-1]) / 7
+    assert sizes[-1] == 100 * 181 and all(abs(s - even) < even / 2 for s in sizes[:-1])
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_join(spark, docs, n, percent):
     known = [(i, t) for i, t in ((r[0], r[1]) for r in corpus()) if i is not None][:-1]
