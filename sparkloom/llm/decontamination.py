@@ -15,7 +15,9 @@ of the answer's words must stand in the passage.  The last sentence of an item
 is its answer; an item of one sentence gives its last third.
 
 The index travels to executors only up to ``block_items`` items; a larger
-benchmark is searched in so many blocks, one after the other.
+benchmark, in order of ids, is searched in so many blocks, one after the other.
+Number of items, document frequencies, mean length and longest item are those of
+the whole benchmark in every block, so the size of blocks changes no hit.
 
 Defined results
 ---------------
@@ -31,7 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -87,19 +89,40 @@ class ItemIndex:
     block_peaks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
 
-def build_index(rows: list[tuple[int, str]], reach: float = 0.5) -> ItemIndex:
-    """Index of ``(item_id, text)``; impacts are relative to ``reach`` of an item's own score."""
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all items that have words."""
+
+    items: int = 0
+    words: int = 0
+    longest: int = 0
+    df: Counter = field(default_factory=Counter)
+
+
+def statistics(texts: Iterable[str]) -> Statistics:
+    out = Statistics()
+    for text in texts:
+        words = words_of(text)
+        out.items += bool(words)
+        out.words += len(words)
+        out.longest = max(out.longest, len(words))
+        out.df.update(set(words))
+    return out
+
+
+def build_index(rows: list[tuple[int, str]], reach: float = 0.5, whole: Statistics | None = None) -> ItemIndex:
+    """Index of ``(item_id, text)``, a block of the ``whole`` benchmark or all of it; impacts are relative to ``reach`` of an item's own score."""
     index = ItemIndex()
     bags = [(i, t, Counter(words_of(t))) for i, t in sorted(rows)]
     bags = [(i, t, c) for i, t, c in bags if c]
     if not bags:
         return index
-    df = Counter(w for _, _, c in bags for w in c)
-    mean = sum(sum(c.values()) for _, _, c in bags) / len(bags)
-    index.longest = max(sum(c.values()) for _, _, c in bags)
+    whole = whole or statistics(t for _, t, _ in bags)
+    df, mean = whole.df, whole.words / whole.items
+    index.longest = whole.longest
     for n, (item, text, bag) in enumerate(bags):
         size = sum(bag.values())
-        impact = {w: math.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in bag.items()}
+        impact = {w: math.log1p((whole.items - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in bag.items()}
         own = sum(impact.values()) * reach
         for w, x in impact.items():
             t = index.terms.setdefault(w, len(index.terms))
@@ -175,11 +198,10 @@ def leaks_of(index: ItemIndex, text: str | None, min_question: float, min_answer
     return [best[n] for n in sorted(best)]
 
 
-def _item_blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of ``block_items`` rows at most; only one is in memory."""
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+def _item_blocks(rows: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of ``block_items`` rows at most, by id; only one is in memory."""
     block: list[tuple[int, str]] = []
-    for r in rows.toLocalIterator():
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
         block.append((int(r["item_id"]), r["text"]))
         if len(block) == block_items:
             yield block
@@ -199,6 +221,8 @@ def _search(shared: Broadcast, min_question: float, min_answer: float):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out: str = "leaks", reach: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """``docs`` with a column ``out``: the verified benchmark items of each text."""
-    blocks = _item_blocks(benchmark, block_items)
-    parts = [_search(docs.sparkSession.sparkContext.broadcast(build_index(b, reach)), min_question, min_answer)(F.col(text_col)) for b in blocks]
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    whole = statistics(r["text"] for r in rows.toLocalIterator())
+    blocks = _item_blocks(rows, block_items)
+    parts = [_search(docs.sparkSession.sparkContext.broadcast(build_index(b, reach, whole)), min_question, min_answer)(F.col(text_col)) for b in blocks]
     return docs.withColumn(out, F.concat(*parts) if parts else F.array().cast(HITS))

@@ -256,6 +256,18 @@ def test_leaks(spark, docs, folder):
     assert decontamination.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_do_not_depend_on_blocks(spark):
+    items = [(i, prose(300 + i, 10 + 5 * i) + ". " + prose(400 + i, 4)) for i in range(9)]
+    texts = [(i, prose(500 + i, 30) + " " + t + " " + prose(600 + i, 20)) for i, t in items] + [(50, prose(700, 40) + " " + items[2][1] + " " + items[8][1])]
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items[::-1], "item_id long, text string")
+    flat = lambda n: sorted(tuple(r) for r in decontamination.find_leaks(docs, benchmark, block_items=n).select("doc_id", F.inline("leaks")).collect())
+    whole = flat(20_000)
+    assert {r[:2] for r in whole} >= {*((i, i) for i, _ in items), (50, 2), (50, 8)}
+    for n in (1, 2, 4):
+        assert [r[:2] + r[5:] for r in flat(n)] == [r[:2] + r[5:] for r in whole]
+        assert [r[2] for r in flat(n)] == pytest.approx([r[2] for r in whole])
+
+
 def test_block_max_wand_is_exact():
     items = [(i, prose(100 + i, 12)) for i in range(30)]
     index = decontamination.build_index(items, reach=0.3)
