@@ -7,7 +7,8 @@ hash, and equal windows have their anchors at equal offsets.  So only suffixes a
 anchors are sorted, each with the bytes to its left.
 
 1. *Census.*  Anchors whose gram is unique are dropped: no window around them can
-   stand twice.
+   stand twice.  Grams that hold a fixed share of all anchors are few; they are
+   broadcast, so that no gram's anchors meet in one task.
 2. *Sorted runs.*  A task sorts the suffixes at its anchors.  Equal ones (same
    bytes left and right) are merged at once, and their windows are known to
    repeat.  The run is front-coded: each suffix stores how many bytes it shares
@@ -27,12 +28,15 @@ Defined results
 * repeated rows and equal texts repeat each other and lose all that is long
   enough; null and repeated ids are rows of their own;
 * overlaps count, within a document, too; an empty table gives an empty result;
-* extra columns are not read.
+* extra columns are not read;
+* rows are told apart by 128 bits of hashes of id and text, ``row_key`` and
+  ``row_check``: among 10**12 rows a collision has a chance of about 10**-15.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -43,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.hashing import _BASE, _INVERSE, PIECE, mix, powers
-from sparkloom.storage import stage
+from sparkloom.storage import stage, unstage
 
 WIDTH = 200
 GRAM = 64
@@ -53,7 +57,8 @@ RUN = 60_000
 RANGE = 100_000
 #: Bytes that splitters look at: less than a gram, so that a gram's suffixes stay together.
 SPLIT = 16
-_HEAD = struct.Struct("<HHHBqi")  # shared, rest, right length, repeated, row key, position
+_HEAD = struct.Struct("<HHHBqqi")  # shared, rest, right length, repeated, row key and check, position
+Row = tuple[int, int]
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -163,25 +168,25 @@ def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     return low
 
 
-def front_code(run: list[tuple[bytes, int, bool, int, int]]) -> bytes:
-    """A sorted run of ``(key, right length, repeated, row key, position)`` as bytes."""
+def front_code(run: list[tuple[bytes, int, bool, Row, int]]) -> bytes:
+    """A sorted run of ``(key, right length, repeated, row, position)`` as bytes."""
     out, last = [], b""
     for key, right, repeated, row, pos in run:
         shared = common_prefix(last, key)
-        out += [_HEAD.pack(shared, len(key) - shared, right, repeated, row, pos), key[shared:]]
+        out += [_HEAD.pack(shared, len(key) - shared, right, repeated, *row, pos), key[shared:]]
         last = key
     return b"".join(out)
 
 
-def decode(payload: bytes) -> Iterator[tuple[int, bytes, int, bool, int, int]]:
-    """``(shared with the key before, key, right length, repeated, row key, position)`` of a run."""
+def decode(payload: bytes) -> Iterator[tuple[int, bytes, int, bool, Row, int]]:
+    """``(shared with the key before, key, right length, repeated, row, position)`` of a run."""
     at, last, size = 0, b"", _HEAD.size
     while at < len(payload):
-        shared, rest, right, repeated, row, pos = _HEAD.unpack_from(payload, at)
+        shared, rest, right, repeated, row, check, pos = _HEAD.unpack_from(payload, at)
         at += size
         last = last[:shared] + payload[at : at + rest]
         at += rest
-        yield shared, last, right, bool(repeated), row, pos
+        yield shared, last, right, bool(repeated), (row, check), pos
 
 
 class LoserTree:
@@ -219,7 +224,7 @@ class LoserTree:
         won, self.losers[node] = self._play(self._build(2 * node), self._build(2 * node + 1))
         return won
 
-    def __iter__(self) -> Iterator[tuple[int, tuple[int, bytes, int, bool, int, int]]]:
+    def __iter__(self) -> Iterator[tuple[int, tuple[int, bytes, int, bool, Row, int]]]:
         while self.heads[self.winner] is not None:
             leaf = self.winner
             yield self.shared[leaf], self.heads[leaf]
@@ -238,15 +243,24 @@ def _key(text: bytes, pos: int, width: int) -> tuple[bytes, int]:
     return right.ljust(width, b"\0") + text[max(0, pos - (width - GRAM)) : pos][::-1], len(right)
 
 
+RUN_SCHEMA = "dest int, payload binary, row_key long, row_check long, start int, end int"
+SPAN_SCHEMA = "row_key long, row_check long, start int, end int"
+
+
 def _emit_runs(splitters: list[bytes], width: int):
-    schema = pa.schema([("dest", pa.int32()), ("payload", pa.binary()), ("row_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    """Front-coded runs by range, and the spans of suffixes that are equal within a run.
+
+    Those spans ride along to some range, spread evenly, so that one exchange carries all.
+    """
+    types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
 
-    def span(key: bytes, right: int, row: int, pos: int) -> tuple[int, int, int]:
-        return row, pos - (len(key) - width), pos + right
+    def span(key: bytes, right: int, row: Row, pos: int) -> tuple:
+        return row[0] % (len(splitters) + 1), None, *row, pos - (len(key) - width), pos + right
 
-    def sealed(entries: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+    def sealed(entries: list[tuple[bytes, int, Row, int]]) -> pa.RecordBatch:
         entries.sort()
-        run, spans, cuts = [], [], []
+        run, rows, cuts = [], [], []
         at = 0
         while at < len(entries):
             end = at + 1
@@ -254,29 +268,22 @@ def _emit_runs(splitters: list[bytes], width: int):
                 end += 1
             key, right, row, pos = entries[at]
             if end - at > 1 and right + len(key) - width >= width:
-                spans += [span(*e) for e in entries[at:end]]
+                rows += [span(*e) for e in entries[at:end]]
             dest = bisect_right(splitters, key[:SPLIT])
             if not cuts or cuts[-1][0] != dest:
                 cuts.append((dest, len(run)))
             run.append((key, right, end - at > 1, row, pos))
             at = end
         ends = [c for _, c in cuts[1:]] + [len(run)]
-        blocks = [(d, front_code(run[a:b])) for (d, a), b in zip(cuts, ends, strict=True)]
-        n, m = len(blocks), len(spans)
+        rows += [(d, front_code(run[a:b]), None, None, None, None) for (d, a), b in zip(cuts, ends, strict=True)]
         entries.clear()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([d for d, _ in blocks] + [None] * m, pa.int32()),
-                pa.array([p for _, p in blocks] + [None] * m, pa.binary()),
-                *[pa.array([None] * n + [s[i] for s in spans], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))],
-            ],
-            schema=schema,
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: list[tuple[bytes, int, int, int]] = []
+        entries: list[tuple[bytes, int, Row, int]] = []
         for batch in _slices(batches):
-            for text, row, positions in zip(_encoded(batch["text"]), batch["row_key"].to_pylist(), batch["positions"].to_pylist(), strict=True):
+            keys = zip(batch["row_key"].to_pylist(), batch["row_check"].to_pylist(), strict=True)
+            for text, row, positions in zip(_encoded(batch["text"]), keys, batch["positions"].to_pylist(), strict=True):
                 for pos in positions:
                     entries.append((*_key(text, pos, width), row, pos))
                     if len(entries) >= RUN:
@@ -330,16 +337,18 @@ def repeated_offsets(group: list[tuple[bytes, int, bool]], shared: list[int], wi
 
 
 def _merge(width: int):
-    def verdicts(payloads: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    names = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
+
+    def verdicts(payloads: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         group: list[tuple[bytes, int, bool]] = []
         shared: list[int] = []
-        places: list[list[tuple[int, int]]] = []
+        places: list[list[tuple[Row, int]]] = []
 
-        def decided() -> Iterator[tuple[int, int, int]]:
+        def decided() -> Iterator[tuple[int, int, int, int]]:
             if len(group) > 1 or (group and group[0][2]):
                 for window, at in zip(repeated_offsets(group, shared, width), places, strict=True):
                     if window:
-                        yield from ((row, pos - window[1], pos - window[0] + width) for row, pos in at)
+                        yield from ((*row, pos - window[1], pos - window[0] + width) for row, pos in at)
             group.clear(), shared.clear(), places.clear()
 
         for common, (_, key, right, repeated, row, pos) in LoserTree(payloads):
@@ -361,10 +370,13 @@ def _merge(width: int):
         def result() -> Iterator[pa.RecordBatch]:
             rows = [*verdicts(payloads)]
             if rows:
-                a, b, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32())], names=["row_key", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
 
         for batch in batches:
+            spans = batch.filter(batch["payload"].is_null())
+            if len(spans):
+                yield spans.select(names)
+            batch = batch.filter(batch["payload"].is_valid())
             for dest, payload in zip(batch["dest"].to_pylist(), batch["payload"], strict=True):
                 if dest != current:
                     yield from result()
@@ -409,24 +421,41 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def repeated_anchors(anchors: DataFrame, share: float = 1e-5) -> DataFrame:
+    """Anchors whose gram stands more than once: ``row_key, positions``.
+
+    At most ``1 / share`` grams hold a ``share`` of all anchors; these are
+    broadcast, and only the anchors of other grams are joined by a shuffle.
+    """
+    seen = stage(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-grams")
+    bound = max(2, math.ceil(share * anchors.count()))
+    hot = F.broadcast(seen.where(F.col("n") >= bound).select("gram"))
+    rest = seen.where(F.col("n") < bound).select("gram")
+    held = anchors.join(hot, "gram", "left_semi").union(anchors.join(hot, "gram", "left_anti").join(rest, "gram", "left_semi"))
+    wanted = stage(held.groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("positions")), "suffix-wanted")
+    unstage(seen)
+    return wanted
+
+
 def find_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> DataFrame:
     """One row a document: ``doc_id, n_bytes, n_removed, spans, kept_sha256``; spans in bytes, end exclusive."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    long = rows.where(F.octet_length("text") >= width).select("row_key", "text")
+    id_, text = F.col(id_col), F.col(text_col)
+    rows = docs.select(id_.cast("long").alias("doc_id"), F.xxhash64(id_, text).alias("row_key"), F.xxhash64(F.lit("check"), text, id_).alias("row_check"), text.alias("text"))
+    long = rows.where(F.octet_length("text") >= width).select("row_key", "row_check", "text")
     anchors = stage(long.mapInArrow(_emit_anchors(width), "row_key long, pos int, gram long"), "suffix-anchors")
-    seen = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    wanted = stage(anchors.join(seen, "gram", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("positions")), "suffix-wanted")
+    wanted = repeated_anchors(anchors)
+    unstage(anchors)
 
     size = wanted.agg(F.sum(F.size("positions"))).collect()[0][0] or 0
     total = long.count() if size else 0
+    sample = max(sample, -(-4 * size // RANGE))
     draw = F.pmod(F.xxhash64(F.lit("splitters"), "row_key"), F.lit(1 << 30)) / float(1 << 30)
     prefixes = sorted(bytes(r["prefix"]) for r in long.where(draw < sample / max(total, 1)).mapInArrow(_emit_prefixes(width), "prefix binary").limit(16 * sample).collect()) if size > RANGE else []
     ranges = min(len(prefixes), -(-size // RANGE))
     splitters = sorted({prefixes[i * len(prefixes) // ranges] for i in range(1, ranges)}) if ranges else []
 
-    runs = stage(long.join(wanted, "row_key").mapInArrow(_emit_runs(splitters, width), "dest int, payload binary, row_key long, start int, end int"), "suffix-runs")
-    dealt = runs.where("dest is not null").select("dest", "payload").repartition(len(splitters) + 1, "dest").sortWithinPartitions("dest")
-    merged = dealt.mapInArrow(_merge(width), "row_key long, start int, end int")
-    spans = runs.where("dest is null").select("row_key", "start", "end").union(merged)
-    spans = stage(spans.groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
-    return rows.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    runs = long.join(wanted, "row_key").mapInArrow(_emit_runs(splitters, width), RUN_SCHEMA)
+    merged = runs.repartition(len(splitters) + 1, "dest").sortWithinPartitions("dest").mapInArrow(_merge(width), SPAN_SCHEMA)
+    spans = stage(merged.groupBy("row_key", "row_check").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    unstage(wanted)
+    return rows.join(spans, ["row_key", "row_check"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")

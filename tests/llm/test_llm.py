@@ -232,7 +232,7 @@ def test_loser_tree_merges_runs():
     rng = np.random.default_rng(3)
     keys = sorted(bytes(rng.integers(97, 99, 12).tolist()) for _ in range(200))
     runs = [sorted(keys[i::7]) for i in range(7)]
-    out = list(suffix_dedup.LoserTree([suffix_dedup.front_code([(k, 0, False, 0, 0) for k in r]) for r in runs]))
+    out = list(suffix_dedup.LoserTree([suffix_dedup.front_code([(k, 0, False, (0, 0), 0) for k in r]) for r in runs]))
     assert [e[1] for _, e in out] == keys
     assert all(s == suffix_dedup.common_prefix(a[1], b[1]) for (_, a), (s, b) in zip(out[:-1], out[1:], strict=True))
 
