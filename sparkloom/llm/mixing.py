@@ -1,68 +1,69 @@
 """Mixing sources to target weights by Pareto order sampling (DataFrame functions only).
 
-Every source gets a target in words.  A source whose target is ``r`` times its
-size gives ``floor(r)`` certain copies of each document; the fraction that is
-left is an inclusion probability.  Each document draws a uniform number ``u``
-and is ranked by the Pareto key ``(u / (1 - u)) / (p / (1 - p))``; the documents
-with the smallest keys enter until the words that are left are taken.  ``p``
-differs between sources and, with ``weight_col``, between documents of a source.
+Every source gets a target in words.  A document of a source is wanted
+``min(max_repeat, c * weight)`` times, where ``c`` is such that the words wanted
+of the source are its target.  The whole part are certain copies; the fraction
+that is left is the document's inclusion probability ``p``.  Each document draws
+a uniform number ``u`` and is ranked by the Pareto key
+``(u / (1 - u)) / (p / (1 - p))``; the documents with the smallest keys enter
+until the words that are left are taken.
+
+The weight of a document is 1 over the square root of its words, so that sizes
+count and long documents are repeated less, or a column's value.  Weights are
+rounded down to powers of ``2 ** (1 / STEPS)``; documents of a source with equal
+rounded weight are a *class* with one ``p``.
 
 The cut of a source is found without sorting the source: keys are counted in a
-fixed number of buckets, the bucket that holds the cut is found from the
-cumulated words, and only that bucket's rows are ordered.  What reaches the
-driver is one row a source.
+fixed number of buckets, and the bucket that holds the cut is counted again in
+finer ones until it holds few rows; only those are ordered.  What reaches the
+driver is one row a source and class.
 
 Defined results
 ---------------
 * null or empty text: size 0, nothing taken, the row stays in the result;
 * null source: a source of its own, last in the order;
 * null ids: allowed, the draw then depends on the text alone;
+* a weight that is null, not finite or not positive counts as the smallest one;
 * repeated rows draw the same number and are taken or left together;
+* more than ``MAX_SOURCES`` sources are an error: targets depend on all sources
+  in order, and their table is sent to every executor;
 * empty tables give an empty result; extra columns pass through ``expand``.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of the Pareto key in each source.
-BUCKETS = 4096
+#: Bits of the Pareto key, of which each count of buckets looks at ``BUCKET_BITS`` more.
+KEY_BITS = 48
+BUCKET_BITS = 12
+#: Rows of a source that are ordered to find its cut.
+ORDERED = 10_000
+#: Classes of weights in a factor of 2, and the largest exponent of 2.
+STEPS = 4
+EXPONENT = 40
 #: The targets travel as one literal table; more sources than this are refused.
 MAX_SOURCES = 100_000
 
-_CUTS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("cut_source", T.StringType()),
-            T.StructField("source_size", T.LongType()),
-            T.StructField("target", T.DoubleType()),
-            T.StructField("whole", T.LongType()),
-            T.StructField("odds", T.DoubleType()),
-            T.StructField("cut_bucket", T.IntegerType()),
-            T.StructField("cut_key", T.DoubleType()),
-        ]
-    )
-)
+_SHARES = "array<struct<share_source:string,share_class:int,source_size:long,target:double,whole:int,odds:double>>"
+_CUTS = "array<struct<cut_source:string,cut_key:long>>"
 
 
 @dataclass(frozen=True)
 class SourceCut:
-    """How much one source gives: whole copies of all, and whose key gets one more."""
+    """What one source gives: size, target, copies and inclusion odds by class, and the largest key that enters."""
 
     source: str | None
     size: int
     target: float
-    whole: int
-    odds: float
-    bucket: int = -1
-    key: float = -1.0
+    classes: tuple[tuple[int, int, float], ...] = ()  # class, whole copies, odds
+    key: int = -1
 
 
 def word_count(text: Column) -> Column:
@@ -105,91 +106,124 @@ def source_targets(
     return out
 
 
-def _cut_table(spark: SparkSession, cuts: list[SourceCut]) -> DataFrame:
-    rows = [
-        {"cut_source": c.source, "source_size": c.size, "target": c.target, "whole": c.whole, "odds": c.odds, "cut_bucket": c.bucket, "cut_key": c.key}
-        for c in cuts
-    ]
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), _CUTS)))
-
-
-def _with_key(slim: DataFrame, cuts: DataFrame, weight: Column | None) -> DataFrame:
-    """Adds the Pareto key and its bucket.  ``cuts`` is small: its size was checked."""
-    joined = slim.join(F.broadcast(cuts), slim["_source"].eqNullSafe(cuts["cut_source"]), "left")
-    odds = F.col("odds") if weight is None else F.col("odds") * F.greatest(weight, F.lit(1e-9))
-    key = F.when(F.col("odds") > 0, (F.col("_u") / (1 - F.col("_u"))) / odds)
-    return joined.withColumn("_key", key).withColumn("_bucket", F.floor(F.col("_key") / (1 + F.col("_key")) * BUCKETS).cast("int"))
+def factor(by_class: dict[int, int], target: float, max_repeat: float) -> float:
+    """The ``c`` for which ``min(max_repeat, c * weight)`` of every class's words are ``target`` words."""
+    left, out = target, 0.0
+    words = sorted(((2 ** (k / STEPS), n) for k, n in by_class.items() if n), reverse=True)
+    for i, (weight, n) in enumerate(words):
+        rest = sum(w * m for w, m in words[i:])
+        out = left / rest
+        if out * weight <= max_repeat:
+            return out
+        left = max(0.0, left - max_repeat * n)  # this class is full
+        out = max_repeat / weight
+    return out
 
 
 def slim_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, weight_col: str | None = None) -> DataFrame:
-    """What planning needs of each document: id, source, size in words and draw."""
-    return docs.select(
-        F.col(id_col).alias("_id"),
-        F.col(source_col).cast("string").alias("_source"),
-        word_count(F.col(text_col)).alias("_size"),
-        uniform_draw(seed, F.col(id_col), F.col(text_col)).alias("_u"),
-        *([F.col(weight_col).cast("double").alias("_weight")] if weight_col else []),
-    )
-
-
-def plan_mix(
-    slim: DataFrame,
-    *,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    share: float = 1.0,
-    max_repeat: float = 3.0,
-) -> list[SourceCut]:
+    """What planning needs of each document: source, size in words, draw and class of weight, as ``_id, _source, _size, _u, _class``."""
+    size = word_count(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), *_drawn(docs, id_col, text_col, seed, weight_col))
+    return rows
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, seed: int, weight_col: str | None) -> list[Column]:
+    weight = F.col(weight_col).cast("double") if weight_col else 1 / F.sqrt(F.greatest(word_count(F.col(text_col)), F.lit(1)))
+    usable = weight.isNotNull() & ~F.isnan(weight) & (weight > 0) & (weight < float("inf"))
+    step = F.when(usable, F.floor(F.log2(weight) * STEPS)).otherwise(-EXPONENT * STEPS)
+    limited = F.greatest(F.lit(-EXPONENT * STEPS), F.least(F.lit(EXPONENT * STEPS), step)).cast("int")
+    return [uniform_draw(seed, F.col(id_col), F.col(text_col)).alias("_u"), limited.alias("_class")]
+
+
+def _with_key(slim: DataFrame, cuts: list[SourceCut]) -> DataFrame:
+    """Adds what the class gets, and the Pareto key: ``key / (1 + key)`` in ``KEY_BITS`` bits, null without odds."""
+    rows = [{"share_source": c.source, "share_class": k, "source_size": c.size, "target": c.target, "whole": whole, "odds": odds} for c in cuts for k, whole, odds in c.classes]
+    # One row a source and class, both of bounded number.
+    shares = F.broadcast(slim.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), _SHARES))))
+    joined = slim.join(shares, slim["_source"].eqNullSafe(shares["share_source"]) & (slim["_class"] == shares["share_class"]), "left")
+    key = F.when(F.col("odds") > 0, (F.col("_u") / (1 - F.col("_u"))) / F.col("odds"))
+    return joined.withColumn("_key", F.floor(key / (1 + key) * float(1 << KEY_BITS)).cast("long"))
+
+
+def _by_source(rows: DataFrame, table: list[dict], schema: str, prefix: str) -> DataFrame:
+    """Inner join with one small row a source."""
+    small = F.broadcast(rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), schema))))
+    return rows.join(small, rows["_source"].eqNullSafe(small[f"{prefix}_source"]))
+
+
+def _cut_keys(keyed: DataFrame, need: dict[str | None, float]) -> dict[str | None, int]:
+    """For each source the largest key that enters, so that the words taken come nearest to what it needs."""
+    found: dict[str | None, int] = {}
+    opened = {s: (0, n) for s, n in need.items()}  # bucket that holds the cut, words still needed before it
+    for shift in range(KEY_BITS - BUCKET_BITS, -1, -BUCKET_BITS):
+        table = [{"at_source": s, "at_bucket": b, "at_need": n} for s, (b, n) in opened.items()]
+        inside = _by_source(keyed, table, "array<struct<at_source:string,at_bucket:long,at_need:double>>", "at")
+        inside = inside.where(F.shiftright("_key", shift + BUCKET_BITS) == F.col("at_bucket"))
+        counts = inside.groupBy("_source", F.shiftright("_key", shift).alias("bucket")).agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("at_need").alias("need"))
+        # 2 ** BUCKET_BITS rows a source at most.
+        upto = F.sum("words").over(Window.partitionBy("_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        crossing = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("words") < F.col("need")))
+        rows = crossing.collect()
+        # A source without a crossing bucket takes all it has there.
+        found |= {s: ((b + 1) << (shift + BUCKET_BITS)) - 1 for s, (b, _) in opened.items() if s not in {r["_source"] for r in rows}}
+        opened = {r["_source"]: (r["bucket"], r["need"] - (r["upto"] - r["words"])) for r in rows}
+        if not opened or shift == 0 or max(r["n"] for r in rows) <= ORDERED:
+            break
+    if opened:
+        table = [{"at_source": s, "at_bucket": b, "at_need": n} for s, (b, n) in opened.items()]
+        inside = _by_source(keyed, table, "array<struct<at_source:string,at_bucket:long,at_need:double>>", "at")
+        inside = inside.where(F.shiftright("_key", shift) == F.col("at_bucket")).groupBy("_source", "_key").agg(F.sum("_size").alias("words"), F.first("at_need").alias("need"))
+        upto = F.sum("words").over(Window.partitionBy("_source").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
+        taken = inside.withColumn("upto", upto).where(F.col("upto") - F.col("words") / 2 <= F.col("need"))
+        last = {r["_source"]: r["key"] for r in taken.groupBy("_source").agg(F.max("_key").alias("key")).collect()}
+        found |= {s: last.get(s, (b << shift) - 1) for s, (b, _) in opened.items()}
+    return found
+
+
+def plan_mix(slim: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeat: float = 3.0) -> list[SourceCut]:
     """The cut of every source, from rows of ``slim_rows``."""
-    spark = slim.sparkSession
-    weight = F.col("_weight") if "_weight" in slim.columns else None
-    rows = slim.groupBy("_source").agg(F.sum("_size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
+    if slim.select("_source").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
-    sizes = {r["_source"]: int(r["size"]) for r in rows}
+    by_class: dict[str | None, dict[int, int]] = {}
+    for r in slim.groupBy("_source", "_class").agg(F.sum("_size").alias("size")).collect():
+        by_class.setdefault(r["_source"], {})[r["_class"]] = int(r["size"])
+    sizes = {s: sum(c.values()) for s, c in by_class.items()}
     targets = source_targets(sizes, weights, share, max_repeat)
-    cuts = []
-    for source, size in sizes.items():
-        ratio = targets[source] / size if size else 0.0
-        whole = int(ratio + 1e-12)
-        p = max(0.0, ratio - whole) if ratio - whole > 1e-12 else 0.0
-        cuts.append(SourceCut(source, size, targets[source], whole, p / (1 - p)))
-    if not any(c.odds > 0 for c in cuts):
+    cuts, need = [], {}
+    for source, classes in by_class.items():
+        c = factor(classes, targets[source], max_repeat)
+        given, left = [], targets[source]
+        for k, words in sorted(classes.items()):
+            wanted = min(max_repeat, c * 2 ** (k / STEPS))
+            whole = int(wanted + 1e-9)
+            p = max(0.0, wanted - whole) if wanted - whole > 1e-9 else 0.0
+            left -= whole * words
+            given.append((k, whole, p / (1 - p)))
+        cuts.append(SourceCut(source, sizes[source], targets[source], tuple(given)))
+        if any(odds > 0 for _, _, odds in given) and left > 0:
+            need[source] = left
+    if not need:
         return cuts
-
-    keyed = _with_key(slim, _cut_table(spark, cuts), weight).where(F.col("_key").isNotNull())
-    need = F.col("target") - F.col("whole") * F.col("source_size")
-    by_bucket = keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("words"), F.first(need).alias("need"))
-    run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # BUCKETS rows a source at most
-    crossing = by_bucket.withColumn("upto", F.sum("words").over(run)).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("words") < F.col("need")))
-    at = {r["_source"]: (r["_bucket"], r["upto"] - r["words"], r["need"]) for r in crossing.collect()}
-
-    located = [SourceCut(c.source, c.size, c.target, c.whole, c.odds, at[c.source][0]) if c.source in at else c for c in cuts]
-    before = json.dumps([{"cut_source": s, "left": n - b} for s, (_, b, n) in at.items()])
-    lefts = spark.range(1).select(F.inline(F.from_json(F.lit(before), "array<struct<cut_source:string,left:double>>"))).withColumnRenamed("cut_source", "_left_source")
-    inside = _with_key(slim, _cut_table(spark, located), weight).where(F.col("_bucket") == F.col("cut_bucket"))
-    inside = inside.join(F.broadcast(lefts), inside["_source"].eqNullSafe(lefts["_left_source"]))
-    order = Window.partitionBy("_source").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = inside.withColumn("upto", F.sum("_size").over(order)).where(F.col("upto") - F.col("_size") / 2 <= F.col("left"))
-    keys = {r["_source"]: r["key"] for r in taken.groupBy("_source").agg(F.max("_key").alias("key")).collect()}
-    return [SourceCut(c.source, c.size, c.target, c.whole, c.odds, c.bucket, keys.get(c.source, -1.0)) for c in located]
+    keys = _cut_keys(_with_key(slim, cuts).where(F.col("_key").isNotNull()), need)
+    return [replace(c, key=keys.get(c.source, -1)) for c in cuts]
 
 
 def apply_mix(slim: DataFrame, cuts: list[SourceCut]) -> DataFrame:
     """Adds ``source_size``, ``target``, ``copies`` and ``taken`` to rows of ``slim_rows``."""
-    weight = F.col("_weight") if "_weight" in slim.columns else None
-    keyed = _with_key(slim, _cut_table(slim.sparkSession, cuts), weight)
-    chosen = (F.col("_bucket") < F.col("cut_bucket")) | ((F.col("_bucket") == F.col("cut_bucket")) & (F.col("_key") <= F.col("cut_key")))
-    copies = F.col("whole") + F.when(chosen, 1).otherwise(0)
+    keyed = _with_key(slim, cuts)
+    limits = F.broadcast(slim.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"cut_source": c.source, "cut_key": c.key} for c in cuts])), _CUTS))))
+    keyed = keyed.join(limits, keyed["_source"].eqNullSafe(limits["cut_source"]), "left")
+    copies = F.col("whole") + F.when(F.col("_key") <= F.col("cut_key"), 1).otherwise(0)
     return keyed.withColumn("copies", copies.cast("long")).withColumn("taken", (copies * F.col("_size")).cast("long"))
 
 
-def expand(docs: DataFrame, cuts: list[SourceCut], *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix takes it."""
-    slim = docs.select(
-        F.struct("*").alias("_row"),
-        F.col(source_col).cast("string").alias("_source"),
-        F.lit(0).alias("_size"),
-        uniform_draw(seed, F.col(id_col), F.col(text_col)).alias("_u"),
-    )
+def expand(docs: DataFrame, cuts: list[SourceCut], *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, weight_col: str | None = None) -> DataFrame:
+    """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix takes it.
+
+    Documents without words weigh nothing: they are kept once, whatever their share.
+    """
+    size = word_count(F.col(text_col))
+    slim = docs.select(F.struct("*").alias("_row"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), *_drawn(docs, id_col, text_col, seed, weight_col))
     mixed = apply_mix(slim, cuts)
-    return mixed.where(F.col("copies") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).select("_row.*")
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    return mixed.select("_row", times.alias("_times")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select("_row.*")
