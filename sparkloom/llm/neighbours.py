@@ -20,8 +20,9 @@ Defined results
 ---------------
 * null or zero vectors, vectors with null or non-finite components, and vectors
   whose length is not the most frequent one (ties: the longest) take no part;
-* null ids take no part; equal distances go to the smaller id; repeated ids are
-  candidates of their own, but never of a query with the same id;
+* null ids take no part; equal distances go to the smaller id; rows of one id are
+  rows of their own: each is a candidate of every other row, and each that is a
+  query has its own answer;
 * fewer than ``k`` candidates: all are returned; an empty table gives no rows;
 * extra columns are not read.
 """
@@ -114,7 +115,8 @@ def _search_part(k: int, eps: float, rotation: np.ndarray):
             rotated, ids = data @ rotation, rows["vec_id"].to_numpy()
             lengths = (rotated**2).sum(1)
             first = min(len(data), max(8 * k, 64))
-            for qid, vector in zip(queries["query_id"], queries["query"], strict=True):
+            places = rows["row"].to_numpy()
+            for row, qid, vector in zip(queries["query_row"], queries["query_id"], queries["query"], strict=True):
                 q = np.asarray(vector)
                 turned = q @ rotation
                 slack = ROUNDING * ((q**2).sum() + lengths)
@@ -122,13 +124,13 @@ def _search_part(k: int, eps: float, rotation: np.ndarray):
                 radius, step = math.inf, first
                 for start in range(0, len(data), step):
                     near = start + scan_list(turned, rotated[start : start + step], radius, eps, slack[start : start + step])
-                    near = near[ids[near] != qid]
+                    near = near[places[near] != row]
                     d, i = np.concatenate([best_d, exact(q, data[near])]), np.concatenate([best_i, ids[near]])
                     order = np.lexsort((i, d))[:k]
                     best_d, best_i = d[order], i[order]
                     radius = best_d[-1] if len(best_d) == k else math.inf
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": best_i, "score": best_d}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                out.append(pd.DataFrame({"query_row": row, "query_id": qid, "vec_id": best_i, "score": best_d}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     return search
 
@@ -169,7 +171,7 @@ def search(
     """The ``k`` nearest found for each row for which ``is_query`` (on ``vec_id``) holds: ``query_id, rank, vec_id, score``."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = stage(usable(vectors, id_col, vector_col), "ann-vectors")
+    rows = stage(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
     total = rows.count()
     if not total:
         return empty
@@ -181,10 +183,10 @@ def search(
     counts = np.array([sizes.get(i, 0) for i in range(len(centres))])
     parts = F.element_at(F.array(*[F.lit(max(1, math.ceil(n / part_rows))) for n in counts.tolist()]), F.col("list") + 1)
     wanted = min(float(total), max(probe_share * total, 100.0 * k))
-    queries = listed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
-    probes = queries.select("query_id", "query", F.explode(_probe(centres, counts, wanted)("query")).alias("list"))
-    probes = probes.select("query_id", "query", "list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    spread = listed.select("vec_id", "vector", "list", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts.cast("long")).cast("int").alias("part"))
-    found = probes.groupBy("list", "part").cogroup(spread.groupBy("list", "part")).applyInPandas(_search_part(k, eps, random_rotation(fitted.shape[1], seed)), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    queries = listed.where(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    probes = queries.select("query_row", "query_id", "query", F.explode(_probe(centres, counts, wanted)("query")).alias("list"))
+    probes = probes.select("query_row", "query_id", "query", "list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    spread = listed.select("row", "vec_id", "vector", "list", F.pmod(F.xxhash64("row"), parts.cast("long")).cast("int").alias("part"))
+    found = probes.groupBy("list", "part").cogroup(spread.groupBy("list", "part")).applyInPandas(_search_part(k, eps, random_rotation(fitted.shape[1], seed)), "query_row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
