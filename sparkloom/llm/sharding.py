@@ -9,9 +9,12 @@ shards below the capacity are as even as can be, and none is empty while there
 are groups enough.
 
 The driver never sees a row a group.  It gets one row for each of ``16 **
-PREFIX`` digest prefixes.  A first search over whole prefixes bounds the
-capacity; from the bounds follows in which few prefixes any cut can lie, and
-only the groups of those are fetched for the exact search.
+PREFIX`` digest prefixes.  A search over whole prefixes bounds the capacity; from
+the bounds follows in which few prefixes any cut of a greedy fill can lie, and
+only those are opened, by ``DEEPER`` more digits at a time, until they are single
+groups.  What reaches the driver so depends on the number of shards, not on that
+of groups.  The capacity is exact; the evenness below it is that of the opened
+line, whose unopened prefixes are about 1 / 16 ** PREFIX of all bytes each.
 
 Defined results
 ---------------
@@ -39,6 +42,8 @@ from sparkloom.storage import stage
 
 #: Hexadecimal digits of the digest that name a prefix.
 PREFIX = 4
+#: Digits by which prefixes are opened.
+DEEPER = 2
 #: A group's rows are numbered in so many parts, so that no group is one task's work.
 SALT = 32
 
@@ -120,23 +125,28 @@ def _open_prefixes(sizes: list[int], largest: int, shards: int) -> set[int]:
     return found
 
 
+def _totals(groups: DataFrame, digits: int) -> list[tuple[str, int, int, int]]:
+    """Size, largest group and number of groups of every prefix of so many digits."""
+    prefix = F.substring("key", 1, digits).alias("prefix")
+    rows = groups.groupBy(prefix).agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("n")).collect()
+    return [(r["prefix"], int(r["size"]), int(r["largest"]), int(r["n"])) for r in rows]
+
+
 def plan_shards(groups: DataFrame, shards: int) -> list[str]:
-    """First group of every shard but the first, from a table of ``key`` (digest) and ``size``."""
-    prefix = F.substring("key", 1, PREFIX)
-    totals = groups.groupBy(prefix.alias("prefix")).agg(F.sum("size").alias("size"), F.max("size").alias("largest")).collect()
-    if not totals:
-        return []
-    totals.sort(key=lambda r: r["prefix"])
-    open_ = _open_prefixes([int(r["size"]) for r in totals], max(int(r["largest"]) for r in totals), shards)
-    names = [totals[i]["prefix"] for i in sorted(open_)]
-    inside: dict[str, list[tuple[str, int]]] = {}
-    for r in groups.where(prefix.isin(names)).select("key", "size").collect() if names else []:
-        inside.setdefault(r["key"][:PREFIX], []).append((r["key"], int(r["size"])))
-    line: list[tuple[str, int]] = []
-    for r in totals:
-        line += sorted(inside[r["prefix"]]) if r["prefix"] in inside else [(r["prefix"], int(r["size"]))]
-    sizes = [s for _, s in line]
-    ends = even_cuts(sizes, smallest_capacity(sizes, shards), shards)
+    """First group (or prefix) of every shard but the first, from a table of ``key`` (digest) and ``size``."""
+    line = sorted(_totals(groups, PREFIX))
+    while line:
+        open_ = _open_prefixes([size for _, size, _, _ in line], max(largest for _, _, largest, _ in line), shards)
+        open_ = {i for i in open_ if line[i][3] > 1}
+        if not open_:
+            break
+        opened = []
+        for digits in {len(line[i][0]) for i in open_}:
+            names = [line[i][0] for i in sorted(open_) if len(line[i][0]) == digits]
+            opened += _totals(groups.where(F.substring("key", 1, digits).isin(names)), digits + DEEPER)
+        line = sorted([node for i, node in enumerate(line) if i not in open_] + opened)
+    sizes = [size for _, size, _, _ in line]
+    ends = even_cuts(sizes, smallest_capacity(sizes, shards), shards) if sizes else []
     return [line[e][0] for e in ends if e < len(line)]
 
 
