@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.spans import joined, locate, matches, tagged
+from sparkloom.llm.spans import apart, bound, locate, matches, tagged
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -40,7 +40,7 @@ ALLOWED = (
     r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}",  # UUID
     r"(?i).*(?:example|placeholder|changeme|dummy|sample|your[_-]?).*",
     r"(?i).*(?:xxxx|0123456789|abcdefgh|1234567890).*",
-    r"(?:[A-Za-z]++[/_=-])+[A-Za-z]*+[0-9]{0,4}",  # names with a short number
+    r"(?:[A-Za-z]++[/_=-])++[A-Za-z]*+[0-9]{0,4}",  # names with a short number
 )
 
 
@@ -62,36 +62,55 @@ CLASSES = (
 )
 
 
+#: Largest window: a count is one printable character of the state.
+MOST = 60
+_ZERO = 65  # the character of the count 0
+
+
 def peak_entropy(text: Column, alphabet: str, window: int) -> Column:
-    """Largest Shannon entropy in bits of any ``window`` characters of ``text``."""
-    part = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+    """Largest Shannon entropy in bits of any ``window`` characters of ``text``, all of ``alphabet``.
+
+    The state of the fold is a string with one character a symbol, its count.  A
+    step of the window is two changes of one count, of the symbol that leaves
+    and of the one that enters; each also changes the sum of ``c * log2(c)``.
+    """
+    if not 1 <= window <= MOST:
+        raise ValueError(f"a window has 1 to {MOST} characters")
+    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    state = "struct<counts:string,sum:double,seen:int,peak:double>"
+
+    def change(acc: Column, by: Column) -> Column:
+        symbol = F.abs(by)
+        held = F.ascii(F.substring(acc["counts"], symbol, F.lit(1))) - _ZERO
+
+        def changed(count: Column) -> Column:
+            now = count + F.signum(by).cast("int")
+            total = acc["sum"] + F.element_at(weight, now + 1) - F.element_at(weight, count + 1)
+            seen = acc["seen"] + F.when(by > 0, 1).otherwise(0)
+            peak = F.when((by > 0) & (seen >= window), F.greatest(acc["peak"], math.log2(window) - total / window)).otherwise(acc["peak"])
+            return F.struct(F.overlay(acc["counts"], F.char(now + _ZERO), symbol, F.lit(1)).alias("counts"), total.alias("sum"), seen.alias("seen"), peak.alias("peak")).cast(state)
 
-    def symbol(i: Column) -> Column:
-        return F.position(F.substring(text, i, F.lit(1)), F.lit(alphabet))
+        return bound(held, changed)
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = symbol(i), F.when(i > window, symbol(i - window)).otherwise(0)
-        gained = F.element_at(acc["counts"], new).cast("double")
-        grown = acc["sum"] + part(gained + 1) - part(gained)
-        lost = F.when(old > 0, F.element_at(acc["counts"], F.greatest(old, F.lit(1))) + F.when(old == new, 1).otherwise(0)).otherwise(0).cast("double")
-        total = F.when(old > 0, grown - part(lost) + part(lost - 1)).otherwise(grown)
-        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j + 1 == new, 1).otherwise(0) - F.when(j + 1 == old, 1).otherwise(0))
-        peak = F.when(i >= window, F.greatest(acc["peak"], math.log2(window) - total / window)).otherwise(acc["peak"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), peak.alias("peak"))
+    def peak(symbols: Column) -> Column:
+        leaving = F.concat(F.array_repeat(F.lit(0), window), F.slice(symbols, F.lit(1), F.greatest(F.size(symbols) - window, F.lit(0))))
+        changes = F.filter(F.flatten(F.zip_with(leaving, symbols, lambda old, new: F.array(-old, new))), lambda by: by != 0)
+        start = F.struct(F.lit(chr(_ZERO) * len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(0.0).alias("peak")).cast(state)
+        return F.aggregate(changes, start, change, lambda acc: acc["peak"])
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc["peak"])
+    symbols = F.transform(F.regexp_extract_all(text, F.lit("."), F.lit(0)), lambda c: F.position(c, F.lit(alphabet)))
+    return F.when(F.length(text) < window, 0.0).otherwise(bound(symbols, peak))
 
 
 def is_random(text: Column, window: int) -> Column:
     """Whether a candidate reaches the entropy bound of its class and is on no allow-list."""
-    verdict = F.lit(False)
+    least = F.lit(math.inf)
     for c in reversed(CLASSES):
         inside = text.rlike("^[" + c.alphabet.replace("-", "\\-") + "]++$")
-        bound = c.share * math.log2(min(window, len(c.alphabet)))
-        verdict = F.when(inside, peak_entropy(text, c.alphabet, window) >= bound).otherwise(verdict)
+        least = F.when(inside, c.share * math.log2(min(window, len(c.alphabet)))).otherwise(least)
     allowed = text.rlike("|".join(f"(?:^(?:{p})$)" for p in ALLOWED))
-    return F.when(allowed, False).otherwise(verdict)
+    # Counts do not depend on the class, so the alphabet of the widest serves all.
+    return F.when(allowed, False).otherwise(peak_entropy(text, CLASSES[-1].alphabet, window) >= least - 1e-9)
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -100,7 +119,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "candidate": CANDIDATE}
     rows = rows.select("doc_id", "text", *[matches(F.col("text"), p).alias(f"m_{k}") for k, p in patterns.items()])
-    rows = rows.select("doc_id", *[locate(F.col("text"), p, F.col(f"m_{k}")).alias(k) for k, p in patterns.items()])
+    rows = rows.select("doc_id", locate(F.col("text"), [*patterns.values()], [F.col(f"m_{k}") for k in patterns]).alias("spans"))
+    rows = rows.select("doc_id", *[F.element_at("spans", i + 1).alias(k) for i, k in enumerate(patterns)])
     value = lambda s: F.regexp_extract(s["match"], ASSIGN, 2)
     base = F.concat(
         tagged(F.filter("assign", lambda s: F.length(value(s)) >= 8), 0),
@@ -108,6 +128,5 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         tagged(F.col("hex"), 2),
     )
     rows = rows.select("doc_id", base.alias("base"), "candidate")
-    free = F.filter("candidate", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.select("doc_id", "base", free.alias("free"))
+    rows = rows.select("doc_id", "base", apart(F.col("candidate"), F.col("base")).alias("free"))
     return rows.select("doc_id", "base", tagged(F.filter("free", lambda s: is_random(s["match"], window)), 3).alias("added"))
