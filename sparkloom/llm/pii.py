@@ -2,8 +2,9 @@
 
 Fixed formats (``email``, ``ip``, ``card``, ``phone``) are reported as they
 stand and are the seeds of the bootstrap.  A *cue* is the word before an
-identifier, or what stands before it in its own word (``tel:+49...``); an *instance* is an identifier, known or merely looking like one (a
-token with digits).  Spark scores the graph of cues and instances in rounds:
+identifier, or what stands before it in its own word (``tel:+49...``); an
+*instance* is an identifier, known or merely looking like one (a token with
+digits).  Spark scores the graph of cues and instances in rounds:
 
 * a cue is worth the confidence of its instances, each as often as it stands
   behind the cue, divided by how often the cue stands in the whole corpus, so
@@ -31,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.spans import locate, matches, tagged
+from sparkloom.llm.spans import apart, locate, matches, tagged
 from sparkloom.storage import stage
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -44,9 +45,10 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
 #: Token that looks like an identifier: six characters or more, one a digit.
 LOOKS = r"(?<![A-Za-z0-9._@+/-])(?=[A-Za-z._@+/-]*+[0-9])[A-Za-z0-9._@+/-]{6,}+"
-#: Places inside a lower-cased word where an identifier can start, and words that have one.
-STARTS = "(?<=[^a-z0-9])(?!$)|(?<=[a-z])(?=[0-9+])"
-HAS_START = "[^a-z0-9].|[a-z][0-9+]"
+#: What a text must hold for a pattern to match anywhere in it: a quick look that spares most texts the search.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "looks": "[0-9]"}
+#: Last characters of cues that are told apart when their attached places are sought; more are all sought.
+ENDINGS = 256
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -92,50 +94,78 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     all_ = PATTERNS | {"looks": LOOKS}
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", *[matches(F.col("text"), p).alias(f"m_{k}") for k, p in all_.items()])
-    rows = rows.select("doc_id", *[locate(F.col("text"), p, F.col(f"m_{k}"), cue_of).alias(k) for k, p in all_.items()])
-    for kind in PATTERNS:
-        rows = rows.withColumn(kind, F.filter(kind, _validator(kind)))
+    none = F.array().cast("array<string>")
+    rows = rows.select("doc_id", "text", *[F.when(F.col("text").rlike(NEEDS[k]), matches(F.col("text"), p)).otherwise(none).alias(f"m_{k}") for k, p in all_.items()])
+    rows = rows.select("doc_id", locate(F.col("text"), [*all_.values()], [F.col(f"m_{k}") for k in all_], cue_of).alias("spans"))
+    span = lambda k: F.element_at("spans", [*all_].index(k) + 1)
+    rows = rows.select("doc_id", *[F.filter(span(k), _validator(k)).alias(k) for k in PATTERNS], span("looks").alias("looks"))
     base = F.concat(*[tagged(F.col(k), i) for i, k in enumerate(PATTERNS)])
     rows = rows.select("doc_id", base.alias("base"), *all_)
-    unseen = F.filter("looks", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    as_instance = lambda s, seed: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("value"), s["left"].alias("cue"), F.lit(seed).alias("seed"))
     # Digits that begin an address are no instance beside it: a cue has one instance behind it.
-    first = lambda k: F.col(k) if k == "email" else F.filter(k, lambda s: ~F.exists("email", lambda e: e["start"] == s["start"]))
-    found = F.concat(*[F.transform(first(k), lambda s: as_instance(s, True)) for k in PATTERNS], F.transform(unseen, lambda s: as_instance(s, False)))
+    rest = F.transform(F.concat("ip", "card", "phone"), lambda s: F.struct(s["start"].alias("start"), (s["start"] + 1).alias("end"), s.alias("whole")))
+    points = F.transform("email", lambda s: F.struct(s["start"].alias("start"), (s["start"] + 1).alias("end")))
+    seeds = F.concat("email", F.transform(apart(rest, points), lambda x: x["whole"]))
+    rows = rows.select("doc_id", "base", seeds.alias("seeds"), apart(F.col("looks"), F.col("base")).alias("looks"))
+    as_instance = lambda s, seed: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("value"), s["left"].alias("cue"), F.lit(seed).alias("seed"))
+    found = F.concat(F.transform("seeds", lambda s: as_instance(s, True)), F.transform("looks", lambda s: as_instance(s, False)))
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", found.alias("found")), "pii-scan")
 
 
-def cues_in(word: Column, longest: int) -> Column:
-    """The lower-cased word, and its parts up to every place where an identifier can start, without digits.
+def _bare(text: Column) -> Column:
+    return F.translate(text, "0123456789", "")
+
 
-    Every piece but the last has a character that is no digit, so ``longest`` pieces make the longest cue.
+def attached_cues(word: Column, endings: str, longest: int) -> Column:
+    """The parts of a lower-cased word up to every place where an identifier can start, without digits.
+
+    Such a place follows a character of ``endings`` that is neither letter nor
+    digit, or lies between a letter and a digit or plus sign.  Every piece but the
+    last has a character that is no digit, so ``longest`` pieces make the longest cue.
     """
-    bare = F.translate(word, "0123456789", "")
+    empty = F.array().cast("array<string>")
 
     def step(acc: Column, piece: Column) -> Column:
-        part = F.concat(acc["part"], F.translate(piece, "0123456789", ""))
+        part = F.concat(acc["part"], _bare(piece))
         longer = F.struct(part.alias("part"), F.concat(acc["out"], F.array(part)).alias("out"))
         return F.when(F.length(acc["part"]) < longest, longer).otherwise(acc)
 
-    start = F.struct(F.lit("").alias("part"), F.array(bare).alias("out"))
-    parts = F.aggregate(F.slice(F.split(word, STARTS, longest + 1), 1, longest), start, step, lambda acc: F.array_distinct(acc["out"]))
-    return F.when(word.rlike(HAS_START), parts).otherwise(F.array(bare))
+    places = f"(?<={endings})(?!$)|(?<=[a-z])(?=[0-9+])"
+    pieces = F.split(word, places, longest + 1)
+    # The last piece ends the word, unless there are too many.
+    before = F.slice(pieces, 1, F.least(F.lit(longest), F.size(pieces) - 1))
+    return F.array_distinct(F.aggregate(before, F.struct(F.lit("").alias("part"), empty.alias("out")), step, lambda acc: acc["out"]))
+
+
+def _endings(cues: DataFrame) -> str:
+    """A character class of all that cues end with, letters and digits aside; any such character if they are many."""
+    last = F.substring("cue", -1, 1)
+    found = [r[0] for r in cues.select(last).where(~last.rlike("[a-z0-9]")).distinct().limit(ENDINGS + 1).collect()]
+    if len(found) > ENDINGS:
+        return "[^a-z0-9]"
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(found)) + "]" if found else "[^\\x{0}-\\x{10ffff}]"
 
 
 def cue_counts(docs: DataFrame, cues: DataFrame, text_col: str = "text", broadcast_bytes: int = 8 << 20) -> DataFrame:
     """In how many words of all texts each of ``cues`` stands, alone or attached: ``cue, occurrences``.
 
     Words that are no cue are left out before the shuffle while the cues fit in
-    ``broadcast_bytes``; more cues meet the counts of all words after it.
+    ``broadcast_bytes``; more cues meet the counts of all words after it.  Few
+    words have a place where a cue could be attached, and only those are cut up.
     """
     size, longest = cues.agg(F.sum(F.octet_length("cue") + 32), F.max(F.length("cue"))).first()
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[\x20\x09-\x0D]++")).alias("word"))
-    words = words.select(F.explode(cues_in(F.col("word"), longest or 1)).alias("cue"))
-    if (size or 0) <= broadcast_bytes:
-        words = words.join(F.broadcast(cues), "cue", "left_semi")
+    if not size:
+        return cues.select("cue", F.lit(0).cast("long").alias("occurrences")).limit(0)
+    endings = _endings(cues)
+    small = size <= broadcast_bytes
+    known = lambda words: words.join(F.broadcast(cues.select("cue")), "cue", "left_semi") if small else words
+    space = r"[\x20\x09-\x0D]++"
+    lower = F.lower(F.col(text_col))
+    alone = docs.select(F.explode(F.split(_bare(lower), space)).alias("cue"))
+    within = docs.select(F.explode(F.split(lower, space)).alias("word")).where(F.col("word").rlike(f"{endings}.|[a-z][0-9+]"))
+    attached = F.array_except(attached_cues(F.col("word"), endings, longest), F.array(_bare(F.col("word"))))
+    words = known(alone).union(known(within.select(F.explode(attached).alias("cue"))))
     counts = words.groupBy("cue").agg(F.count(F.lit(1)).alias("occurrences"))
-    return counts if (size or 0) <= broadcast_bytes else counts.join(cues, "cue", "left_semi")
+    return counts if small else counts.join(cues.select("cue"), "cue", "left_semi")
 
 
 def bootstrap(scanned: DataFrame, docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_worth: float = 0.6, min_seeds: int = 5) -> DataFrame:
