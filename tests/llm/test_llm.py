@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
+import time
 from itertools import combinations
 from pathlib import Path
 
@@ -116,6 +117,57 @@ def test_cue_counts_agree_on_both_ways(spark, docs):
     assert small == large == {c: words.count(c) for c in ("one", "wa")}
 
 
+def plain_mix(rows: list[tuple], max_repeat: float = 3.0) -> dict:
+    """``(source, size, u, class)`` of each row to its copies: every source sorted by its keys."""
+    sizes: dict = {}
+    for source, size, _, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    targets = mixing.source_targets(sizes)
+    out = {}
+    for source in sizes:
+        own = [r for r in rows if r[0] == source]
+        low, high = 0.0, 1e15
+        for _ in range(300):  # the factor by bisection
+            c = (low + high) / 2
+            wanted = sum(min(max_repeat, c * 2 ** (r[3] / mixing.STEPS)) * r[1] for r in own)
+            low, high = (c, high) if wanted < targets[source] else (low, c)
+        keyed, left = [], targets[source]
+        for r in own:
+            wanted = min(max_repeat, high * 2 ** (r[3] / mixing.STEPS))
+            whole = int(wanted + 1e-9)
+            p = wanted - whole if wanted - whole > 1e-9 else 0.0
+            out[r] = whole
+            left -= whole * r[1]
+            if p:
+                key = r[2] / (1 - r[2]) / (p / (1 - p))
+                keyed.append((int(key / (1 + key) * (1 << mixing.KEY_BITS)), r))
+        upto = 0
+        for key in sorted({k for k, _ in keyed}):
+            words = sum(r[1] for k, r in keyed if k == key)
+            if upto + words / 2 <= left and (upto < left or words == 0):
+                for k, r in keyed:
+                    if k == key:
+                        out[r] += 1
+            upto += words
+    return out
+
+
+@pytest.mark.parametrize(("ordered", "weight"), [(10_000, None), (3, None), (3, "n_chars")])
+def test_mix_against_a_plain_version(spark, monkeypatch, ordered, weight):
+    monkeypatch.setattr(mixing, "ORDERED", ordered)
+    monkeypatch.setattr(mixing, "BUCKET_BITS", 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(i, int(rng.integers(1, 400))), ["s0", "s1", "s2", None][int(rng.integers(0, 4) * rng.random())], [None, 0, 1, 7, 900][i % 5]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    slim = mixing.slim_rows(docs, weight_col=weight).cache()
+    cuts = mixing.plan_mix(slim)
+    got = mixing.apply_mix(slim, cuts).collect()
+    wanted = plain_mix([(r["_source"], r["_size"], r["_u"], r["_class"]) for r in got])
+    wrong = [r for r in got if r["copies"] != wanted[r["_source"], r["_size"], r["_u"], r["_class"]]]
+    assert len({c for cut in cuts for c in cut.classes}) > 8 and not wrong
+    assert mixing.expand(docs, cuts, weight_col=weight).count() == sum(r["copies"] for r in got)
+
+
 def test_mix(spark, docs):
     slim = mixing.slim_rows(docs).cache()
     cuts = mixing.plan_mix(slim)
@@ -126,7 +178,7 @@ def test_mix(spark, docs):
     for c in cuts:
         assert abs(sum(r["taken"] for r in rows if r["_source"] == c.source) - c.target) <= largest
     mixed = mixing.expand(docs, cuts)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rows)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] if r["_size"] else 1 for r in rows)
     assert mixing.plan_mix(slim.limit(0)) == []
 
 
@@ -153,14 +205,37 @@ def test_shards(docs):
 
 
 def test_smallest_capacity():
+    """Against the largest shard of every contiguous partition."""
     rng = np.random.default_rng(0)
     for _ in range(50):
         sizes = rng.integers(1, 30, rng.integers(1, 12)).tolist()
         shards = int(rng.integers(1, 5))
-        best = min(c for c in range(max(sizes), sum(sizes) + 1) if sharding.greedy_cuts(sizes, c, shards) is not None)
+        cuts = [c for k in range(min(shards, len(sizes))) for c in combinations(range(1, len(sizes)), k)]
+        best = min(max(sum(sizes[a:b]) for a, b in zip([0, *c], [*c, len(sizes)], strict=True)) for c in cuts)
         assert sharding.smallest_capacity(sizes, shards) == best
 
 
+@pytest.mark.parametrize(("prefix", "hot"), [(0, 0), (1, 0), (1, 3000), (3, 0)])
+def test_plan_opens_prefixes_to_the_exact_capacity(spark, monkeypatch, prefix, hot):
+    """However coarse the first prefixes, the largest shard is the smallest possible."""
+    monkeypatch.setattr(sharding, "PREFIX", prefix or 1)
+    rng = np.random.default_rng(prefix + hot)
+    keys = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(700))
+    sizes = [int(x) for x in rng.integers(1, 200, len(keys))]
+    if hot:
+        sizes[300] = hot
+    starts = sharding.plan_shards(spark.createDataFrame([*zip(keys, sizes, strict=True)], "key string, size long"), 5)
+    shards = [0] * 5
+    for k, x in zip(keys, sizes, strict=True):
+        shards[sum(k >= s for s in starts)] += x
+    def fits(c: int) -> bool:
+        n, full = 1, 0
+        for x in sizes:
+            n, full = (n, full + x) if full + x <= c else (n + 1, x)
+        return n <= 5
+    assert max(shards) == next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
+
+
 def test_even_cuts():
     """Against all cuts of the smallest capacity."""
     rng = np.random.default_rng(1)
@@ -260,10 +335,10 @@ def test_leaks_do_not_depend_on_blocks(spark):
     items = [(i, prose(300 + i, 10 + 5 * i) + ". " + prose(400 + i, 4)) for i in range(9)]
     texts = [(i, prose(500 + i, 30) + " " + t + " " + prose(600 + i, 20)) for i, t in items] + [(50, prose(700, 40) + " " + items[2][1] + " " + items[8][1])]
     docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items[::-1], "item_id long, text string")
-    flat = lambda n: sorted(tuple(r) for r in decontamination.find_leaks(docs, benchmark, block_items=n).select("doc_id", F.inline("leaks")).collect())
-    whole = flat(20_000)
+    flat = lambda n: sorted(tuple(r) for r in decontamination.find_leaks(docs, benchmark, part_words=n).select("doc_id", F.inline("leaks")).collect())
+    whole = flat(2_000_000)
     assert {r[:2] for r in whole} >= {*((i, i) for i, _ in items), (50, 2), (50, 8)}
-    for n in (1, 2, 4):
+    for n in (1, 60, 150):
         assert [r[:2] + r[5:] for r in flat(n)] == [r[:2] + r[5:] for r in whole]
         assert [r[2] for r in flat(n)] == pytest.approx([r[2] for r in whole])
 
@@ -271,16 +346,28 @@ def test_leaks_do_not_depend_on_blocks(spark):
 def test_block_max_wand_is_exact():
     items = [(i, prose(100 + i, 12)) for i in range(30)]
     index = decontamination.build_index(items, reach=0.3)
+    (group,) = index.classes
     for seed in range(20):
         words = set(decontamination.words_of(prose(200 + seed, 60)))
-        terms = [index.terms[w] for w in words if w in index.terms]
+        terms = np.array(sorted(index.terms[w] for w in words if w in index.terms))
         full: dict = {}
-        for block in index.postings:
-            for t in terms:
-                for n, x in block.get(t, ()):
-                    full[n] = full.get(n, 0) + x
-        got = {n: s for b in range(len(index.postings)) for n, s in decontamination.block_max_wand(index, terms, b)}
-        assert got == pytest.approx({n: s for n, s in full.items() if s >= 1})
+        for t in terms:
+            for k in range(group.starts[t], group.starts[t + 1]):
+                full[int(group.item[k])] = full.get(int(group.item[k]), 0) + group.impact[k]
+        wanted = {n: s for n, s in full.items() if s >= 1}
+        got = {n: s for b in range(group.blocks) for n, s in decontamination.block_max_wand(group, terms, b)}
+        assert got == pytest.approx(wanted)
+        blocks = {b for _, b in group.candidate_blocks(np.zeros(len(terms), np.int64), terms)}
+        assert {n // decontamination.BLOCK for n in wanted} <= blocks
+
+
+def test_a_long_item_widens_no_passage_of_a_short_one(spark):
+    """Passages follow the class of an item's length, however long other items and texts are."""
+    short, long = (1, prose(1, 20)), (2, prose(2, 5000))
+    texts = [(1, prose(3, 20_000) + " " + short[1] + " " + prose(4, 20_000)), (2, "a " + long[1] + " b"), (3, None), (4, "")]
+    found = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([short, long], "item_id long, text string"))
+    hits = {(r["doc_id"], r["item_id"]): r["end"] - r["start"] for r in found.select("doc_id", F.inline("leaks")).collect()}
+    assert hits[1, 1] <= 40 and hits[2, 2] > 5000 and set(hits) == {(1, 1), (2, 2)}
 
 
 def test_neighbours(spark):
@@ -314,21 +401,78 @@ def test_neighbours_of_copies_have_the_smallest_ids(spark):
         assert got == [(n + 1, i, 0.0) for n, i in enumerate([i for i in near if i != q][:10])]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Rows of one id are queries of their own, and candidates of each other."""
+    points = np.random.default_rng(4).standard_normal((60, 8))
+    rows = [(0 if i < 3 else i, p.tolist()) for i, p in enumerate(points)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    wanted = []
+    for q in range(3):
+        d = np.sqrt(((points - points[q]) ** 2).sum(1))
+        wanted += [(n + 1, rows[i][0], round(d[i], 9)) for n, i in enumerate([i for i in np.lexsort(([r[0] for r in rows], d)) if i != q][:10])]
+    assert sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in found) == sorted(wanted)
+
+
 def test_language(spark):
     rows = [(i, " ".join(np.random.default_rng(i).choice(v, 60)), lang) for lang, v, at in (("aa", ["banana", "cabana", "havana"], 0), ("bb", ["totem", "motet", "tempo"], 1)) for i in range(at, 40, 2)]
     model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert language.decide(model, "cabana banana")[0] == "aa" and language.decide(model, "motet tempo")[0] == "bb"
+    for text in ("\u00bd \u00b2", "\u2460", "\u3002", "\U0001f600", "_ 12"):
+        assert language.decide(model, text) == ("und", 0.0)
     assert language.decide(model, None) == language.decide(model, "123 !") == ("und", 0.0)
     assert language.decide(language.LanguageModel(), "abc") == ("und", 0.0)
 
 
+def test_seams_add_and_lose_no_ngram(monkeypatch):
+    text = prose(1, 300) + " \u0130stanbul e\u0301t\u00e9 \u041c\u043e\u0441\u043a\u0432\u0430"
+    whole = np.sort(np.concatenate(list(language.ngram_hashes(text))))
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert np.array_equal(np.sort(np.concatenate(list(language.ngram_hashes(text)))), whole)
+
+
+def all_maximal(scores: list[float]) -> list[tuple[int, int, float]]:
+    """By definition: the best segment (of equal ones the shortest, then the first), then the same left and right of it."""
+    sums = [(sum(scores[a:b]), a - b, -a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    if not sums or max(sums)[0] <= 1e-9:
+        return []
+    best = max(s for s, _, _ in sums)
+    _, length, start = max((0, n, a) for s, n, a in sums if s >= best - 1e-9)
+    a, b = -start, -start - length
+    right = [(x + b, y + b, s) for x, y, s in all_maximal(scores[b:])]
+    return [*all_maximal(scores[:a]), (a, b - 1, sum(scores[a:b])), *right]
+
+
 def test_toxicity_segments():
     rng = np.random.default_rng(2)
-    for _ in range(100):
-        scores = [float(s) if s > 0 else -1.0 for s in rng.integers(-3, 4, 14)]
+    for _ in range(200):
+        scores = [float(s) + rng.random() if s > 0 else -1.0 for s in rng.integers(-3, 4, 18)]
         got = toxicity.maximal_segments([(i, s) for i, s in enumerate(scores) if s > 0], 1.0)
-        best = max((sum(scores[a:b]) for a in range(14) for b in range(a + 1, 15)), default=0)
-        assert not got or max(s for _, _, s in got) == pytest.approx(best)
+        wanted = all_maximal(scores)
+        assert [g[:2] for g in got] == [w[:2] for w in wanted]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in wanted])
+
+
+def test_segments_of_long_lines_take_linear_time():
+    hits = [(40 * i, 3.0) for i in range(200_000)]
+    began = time.perf_counter()
+    assert len(toxicity.maximal_segments(hits, 0.25)) == len(hits)
+    assert time.perf_counter() - began < 5
+
+
+def test_a_later_passage_counts_in_full():
+    model = toxicity.ToxicityModel(words={"vile": 3.0, "wretch": 3.0}, rate=1.0, scale=0.01, intercept=-5.0, slope=3.0)
+    clean, bad = "some plain words here " * 20, "vile wretch "
+    segments, _ = toxicity.Scorer(model).segments("vile " + clean + bad + clean + bad)
+    assert [s for _, _, s in segments] == [6.0, 6.0]
+
+
+def test_extreme_value_law():
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 5000, 20_000)
+    best = np.log(0.02 * n / -np.log(rng.random(len(n)))) / 0.7  # inverse of the law
+    rate, scale = toxicity.extreme_value_law(np.maximum(best, 0), n)
+    assert rate == pytest.approx(0.7, rel=0.06) and scale == pytest.approx(0.02, rel=0.3)
 
 
 def test_toxicity(spark):
