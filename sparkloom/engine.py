@@ -15,6 +15,7 @@ from sparkloom.operators import REGISTRY, Context
 from sparkloom.plans.planner import topological, union
 from sparkloom.sinks import SINKS, payload
 from sparkloom.sources import SOURCES, mock
+from sparkloom.streaming.stateful import stateful_streams
 from sparkloom.validate import validate
 
 
@@ -66,8 +67,10 @@ class Engine:
                     sinks[node.id] = self._counted(union([*joined.values()]), node.id, "input", run)
                     continue
                 made = REGISTRY[node.operator](joined, node.config, Context(node.id, self.functions))
+            # A port that no edge leaves is never computed, and a counter on it would be waited for in vain.
+            read = {e.source_port for e in pipeline.edges if e.source == node.id}
             for port, df in made.items():
-                ports[node.id, port] = self._counted(df, node.id, port, run)
+                ports[node.id, port] = self._counted(df, node.id, port, run if port in read else None)
         return sinks
 
     def _source(self, node: Node, streaming: bool, samples: bool, inputs: dict[str, DataFrame]) -> DataFrame:
@@ -115,7 +118,8 @@ class Engine:
                 write(rows, config)
 
             writer = df.writeStream.queryName(f"{pipeline.id or 'pipeline'}-{sink}").foreachBatch(batch).outputMode("append").option("checkpointLocation", f"{checkpoint.rstrip('/')}/{sink}")
-            queries.append((writer.trigger(**trigger) if trigger else writer.trigger(processingTime="10 seconds")).start())
+            with stateful_streams(self.spark):
+                queries.append((writer.trigger(**trigger) if trigger else writer.trigger(processingTime="10 seconds")).start())
         self.queries[pipeline.id] = queries
         return queries
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.model import RECORD_TIME, ConfigError, choice, names, number, text
+from sparkloom.model import RECORD_HEADERS, RECORD_ID, RECORD_TIME, ConfigError, choice, names, number, text
 from sparkloom.operators.base import Context, Ports, operator, order_key, out, single
 from sparkloom.operators.joins import _UNITS
 from sparkloom.paths import Field, as_text, column, lookup
@@ -123,9 +123,12 @@ def aggregate(inputs: Ports, config: dict, ctx: Context) -> Ports:
     if window == "COUNT":
         size = number(config, "countWindowSize", 100, 1)
         if df.isStreaming:
-            raise ConfigError("count windows of a stream run through sparkloom.streaming.count_windows")
-        rows = numbered(df, keys, order)
-        found = rows.groupBy(F.floor(F.col("_n") / size).alias("_w"), *named).agg(F.count(F.lit(1)).alias("_rows"), *metrics).where(F.col("_rows") == size)
+            from sparkloom.streaming.stateful import count_window_metrics
+
+            found = count_window_metrics(df, named, size, specs, _window_inputs(df, specs), _metric_types(df, named, specs, config))
+        else:
+            rows = numbered(df, keys, order)
+            found = rows.groupBy(F.floor(F.col("_n") / size).alias("_w"), *named).agg(F.count(F.lit(1)).alias("_rows"), *metrics).where(F.col("_rows") == size)
         about = [F.lit("COUNT").alias("type"), F.lit(size).cast("long").alias("size")]
         flat = [F.lit("COUNT").alias("windowType"), F.lit(size).cast("long").alias("windowSize")]
     else:
@@ -142,13 +145,44 @@ def aggregate(inputs: Ports, config: dict, ctx: Context) -> Ports:
         start, end = F.unix_millis("_w.start"), F.unix_millis("_w.end")
         about = [F.lit(window).alias("type"), F.lit(time_mode).alias("timeMode"), start.alias("start"), end.alias("end")]
         flat = [F.lit(window).alias("windowType"), start.alias(str(config.get("windowStartField") or "windowStart")), end.alias(str(config.get("windowEndField") or "windowEnd"))]
+    identity = _identity(ctx.node_id, window, len(groups))
     of_group = [F.col(f"_g{i}").alias(g) for i, g in enumerate(groups)]
     of_metric = [F.col(f"_m{i}").alias(o) for i, o in enumerate(outputs)]
     if output == "FLAT":
         taken = set(outputs)
-        return out(found.select(*[c for c, n in zip([*flat, *of_group], [*_flat_names(config, window), *groups], strict=True) if n not in taken], *of_metric))
+        return out(found.select(*[c for c, n in zip([*flat, *of_group], [*_flat_names(config, window), *groups], strict=True) if n not in taken], *of_metric, *identity))
     none = F.create_map().cast("map<string,string>")
-    return out(found.select(F.struct(*about).alias("window"), (F.struct(*of_group) if groups else none).alias("group"), F.struct(*of_metric).alias("metrics")))
+    return out(found.select(F.struct(*about).alias("window"), (F.struct(*of_group) if groups else none).alias("group"), F.struct(*of_metric).alias("metrics"), *identity))
+
+
+def _identity(node: str, window: str, groups: int) -> list[Column]:
+    """Id, time and headers of a window's record; windows of a time have an id that a second run repeats."""
+    if window == "COUNT":
+        id_ = F.concat(F.lit(f"aggregate:{node}:count:"), F.expr("uuid()"))
+    else:
+        group = F.base64(F.to_json(F.struct(*[F.col(f"_g{i}") for i in range(groups)]), {"ignoreNullFields": "false"}).cast("binary")) if groups else F.lit("global")
+        id_ = F.concat_ws(":", F.lit(f"aggregate:{node}"), F.unix_millis("_w.start").cast("string"), F.unix_millis("_w.end").cast("string"), group)
+    headers = F.create_map(*[F.lit(x) for pair in (("operator", "AGGREGATE"), ("nodeId", node), ("windowType", window)) for x in pair])
+    return [id_.alias(RECORD_ID), F.unix_millis(F.current_timestamp()).alias(RECORD_TIME), headers.alias(RECORD_HEADERS)]
+
+
+def _window_inputs(df: DataFrame, specs: list[dict]) -> list[Column]:
+    """For each aggregation the value it reads, and what TOP_N sorts by: all that the state of a count window keeps."""
+    out = []
+    for i, spec in enumerate(specs):
+        path = str(spec.get("field") or "")
+        field = lookup(df.schema, path) or Field(F.lit(None).cast("string"), T.StringType())
+        numbers = str(spec["function"]).upper() in ("SUM", "AVG", "MIN", "MAX")
+        by = lookup(df.schema, str(spec.get("sortField") or path)) or field
+        out += [(numeric(field) if numbers else field.column).alias(f"_v{i}"), F.coalesce(as_text(by), as_text(field)).alias(f"_s{i}")]
+    return out
+
+
+def _metric_types(df: DataFrame, named: list[Column], specs: list[dict], config: dict) -> T.StructType:
+    """Groups and metrics as a batch of such records has them."""
+    empty = df.sparkSession.createDataFrame([], df.schema)
+    metrics = [metric(empty, s, order_key(empty, config)).alias(f"_m{i}") for i, s in enumerate(specs)]
+    return empty.groupBy(*named).agg(*metrics).schema
 
 
 def _flat_names(config: dict, window: str) -> list[str]:

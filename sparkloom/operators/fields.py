@@ -99,7 +99,7 @@ def explode(inputs: Ports, config: dict, ctx: Context) -> Ports:
 
 
 def cast_to(found: Field, target: str) -> Column:
-    """The value in the target type, or null where it is none."""
+    """The value in the target type, or null where it is none.  Whole numbers beyond the type's range wrap around."""
     word = F.trim(as_text(found))
     if target == "STRING":
         return as_text(found)
@@ -107,10 +107,14 @@ def cast_to(found: Field, target: str) -> Column:
         return word.try_cast(target.lower())
     if target == "BOOLEAN":
         return F.when(word.isNotNull(), F.lower(word).isin("true", "1"))
-    kind = "int" if target in ("INT", "INTEGER") else "bigint"
+    kind, half = ("int", 1 << 31) if target in ("INT", "INTEGER") else ("bigint", 1 << 63)
+    big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    around = lambda x: F.pmod(x + big(half), big(2 * half)) - big(half)
     truncated = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).try_cast("decimal(38,0)")
     # Exponents and numbers beyond the decimal's range go through double.
-    return F.coalesce(truncated(word.try_cast("decimal(38,18)")), truncated(word.try_cast("double"))).try_cast(kind)
+    whole = F.coalesce(truncated(word.try_cast("decimal(38,18)")), truncated(word.try_cast("double")))
+    # Beyond 35 digits the sum would leave the decimal's range; such numbers have no value here.
+    return F.when(F.abs(whole) < big(10**35), around(whole)).try_cast(kind)
 
 
 @operator("CAST")

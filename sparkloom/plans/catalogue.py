@@ -13,12 +13,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.model import DEFAULT_IN, DEFAULT_OUT
+from sparkloom.model import DEFAULT_IN, DEFAULT_OUT, RESERVED
 from sparkloom.operators import REGISTRY, Context
 from sparkloom.plans.planner import union
 from sparkloom.sinks import files as write_files
 from sparkloom.sources import files as read_files
 from sparkloom.storage import shared_folder
+from sparkloom.streaming.stateful import stateful_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -214,7 +215,7 @@ _SUMS = [{"function": "COUNT", "outputField": "n"}, {"function": "SUM", "field":
 def agg_tumbling_hour(spark: SparkSession, sf: str) -> DataFrame:
     large = apply(table(spark, sf, "events"), "FILTER", {"condition": "value > 100"}, "true")
     df = apply(large, "AGGREGATE", {**_TIMED, "mode": "GROUPED", "groupBy": ["event_type"], "windowSize": 1, "aggregations": _SUMS})
-    return df.withColumn("total", F.round("total", 4))
+    return df.withColumn("total", F.round("total", 4)).drop(*RESERVED)
 
 
 @query(
@@ -223,7 +224,7 @@ def agg_tumbling_hour(spark: SparkSession, sf: str) -> DataFrame:
 )
 def agg_sliding(spark: SparkSession, sf: str) -> DataFrame:
     df = apply(table(spark, sf, "events"), "AGGREGATE", {**_TIMED, "mode": "GLOBAL", "windowType": "SLIDING_TIME", "windowSize": 2, "windowSlide": 1, "aggregations": _SUMS})
-    return df.withColumn("total", F.round("total", 4))
+    return df.withColumn("total", F.round("total", 4)).drop(*RESERVED)
 
 
 @query("SELECT epoch_ms(date_trunc('day', ts)) AS day_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -347,6 +348,182 @@ def file_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _round_trip(spark, table(spark, sf, "supplier"), config).select("s_suppkey", "s_name")
 
 
+_TEXT_RULES = {
+    "dq_type": ({"field": "c_phone", "ruleType": "TYPE", "expectedType": "INTEGER"}, "CASE WHEN c_custkey % 4 = 0 THEN 'c_phone must be INTEGER' ELSE '' END"),
+    "dq_length": ({"field": "c_mktsegment", "ruleType": "LENGTH", "minLength": 9, "maxLength": 9}, "CASE WHEN length(c_mktsegment) < 9 THEN 'c_mktsegment length must be >= 9' WHEN length(c_mktsegment) > 9 THEN 'c_mktsegment length must be <= 9' ELSE '' END"),
+    "dq_regex": ({"field": "c_name", "ruleType": "REGEX", "pattern": ".*[02468]"}, "CASE WHEN regexp_full_match(c_name, '.*[02468]') THEN '' ELSE 'c_name does not match the pattern' END"),
+    "dq_not_null": ({"field": "c_maybe", "ruleType": "NOT_NULL"}, "CASE WHEN c_custkey % 3 = 0 THEN 'c_maybe is required' ELSE '' END"),
+}
+
+
+def _rule_query(name: str, rule: dict[str, Any], errors: str) -> None:
+    """One rule over customers, some of which lack a field or have text for a number."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = table(spark, sf, "customer")
+        df = df.withColumn("c_phone", F.when(F.col("c_custkey") % 4 == 0, "x12").otherwise(F.col("c_custkey").cast("string")))
+        df = df.withColumn("c_maybe", F.when(F.col("c_custkey") % 3 != 0, "y"))
+        marked = apply(df, "DATA_QUALITY", {"rules": [rule], "mode": "MARK_ERROR", "errorField": "errors"})
+        return marked.select("c_custkey", F.concat_ws(";", "errors").alias("errors"))
+
+    run.__name__ = name
+    query(f"SELECT c_custkey, {errors} AS errors FROM customer")(run)
+
+
+for _name, (_rule, _errors) in _TEXT_RULES.items():
+    _rule_query(_name, _rule, _errors)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 5 AND 45 AND l_returnflag IN ('A', 'N') AND l_shipdate IS NOT NULL")
+def dq_discard(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf, "DISCARD", DEFAULT_OUT).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey, round(abs(p_size - 25) + greatest(p_size, 30) - least(p_size, 10) + sqrt(p_size) + power(p_size, 2), 6) AS x, CASE WHEN p_size > 20 THEN 'big' ELSE 'small' END AS kind FROM part")
+def eval_functions(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "part"), "EVAL", {"targetField": "x", "expression": "#abs(p_size - 25) + #max(p_size, 30) - #min(p_size, 10) + #sqrt(p_size) + #pow(p_size, 2)"})
+    df = apply(df, "EVAL", {"targetField": "kind", "expression": "p_size > 20 ? 'big' : 'small'"})
+    return df.select("p_partkey", F.round("x", 6).alias("x"), "kind")
+
+
+@query("SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, '.*[1-3]') AND p_size BETWEEN 5 AND 30 AND p_type IS NOT NULL")
+def filter_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "part"), "FILTER", {"condition": "p_brand matches '.*[1-3]' and p_size between {5, 30} and not (p_type == null)"}, "true").select("p_partkey")
+
+
+@query("SELECT o_orderkey, CAST(((o_orderkey * 3000000000 + 2147483648) % 4294967296) - 2147483648 AS INTEGER) AS wrapped FROM orders")
+def cast_int_wraps(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "orders").withColumn("large", (F.col("o_orderkey") * 3000000000).cast("string"))
+    return apply(df, "CAST", {"inputField": "large", "outputField": "wrapped", "targetType": "INT"}).select("o_orderkey", "wrapped")
+
+
+def _deserialized(spark: SparkSession, sf: str, form: str, **more: Any) -> DataFrame:
+    """Nations written as text by SERIALIZE and read again."""
+    fields = ["n_name", "n_regionkey"]
+    df = apply(table(spark, sf, "nation"), "SERIALIZE", {"sourceFields": fields, "targetField": "t", "format": form}).select("n_nationkey", "t")
+    config = {"field": "t", "targetField": "x", "format": form, "schema": "n_name string, n_regionkey string"} | more
+    return apply(df, "DESERIALIZE", config).select("n_nationkey", "x.n_name", "x.n_regionkey")
+
+
+_AS_TEXT = "SELECT n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation"
+
+
+@query(_AS_TEXT)
+def deserialize_kv(spark: SparkSession, sf: str) -> DataFrame:
+    return _deserialized(spark, sf, "KV")
+
+
+@query(_AS_TEXT)
+def deserialize_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return _deserialized(spark, sf, "CSV", fieldNames=["n_name", "n_regionkey"])
+
+
+@query(_AS_TEXT)
+def deserialize_xml(spark: SparkSession, sf: str) -> DataFrame:
+    return _deserialized(spark, sf, "XML")
+
+
+@query("SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS text FROM nation")
+def serialize_json(spark: SparkSession, sf: str) -> DataFrame:
+    return apply(table(spark, sf, "nation"), "SERIALIZE", {"sourceFields": ["n_name", "n_regionkey"], "targetField": "text", "format": "JSON"}).select("n_nationkey", "text")
+
+
+@query("SELECT c_custkey, split_part(c_name, '#', 1) AS word, split_part(c_name, '#', 2) AS number FROM customer")
+def grok_named(spark: SparkSession, sf: str) -> DataFrame:
+    df = apply(table(spark, sf, "customer"), "GROK", {"inputField": "c_name", "outputField": "parts", "pattern": "%{WORD:word}#%{GREEDYDATA:number}"})
+    return df.select("c_custkey", "parts.word", "parts.number")
+
+
+@query("SELECT event_type, array_to_string(list_sort(list(DISTINCT user_id)), ',') AS users FROM events GROUP BY event_type")
+def agg_collect_set(spark: SparkSession, sf: str) -> DataFrame:
+    specs = [{"function": "COLLECT_SET", "field": "user_id", "outputField": "users"}]
+    df = apply(table(spark, sf, "events"), "AGGREGATE", {**_TIMED, "mode": "GROUPED", "groupBy": ["event_type"], "windowSize": 24 * 365 * 100, "orderBy": ["ts", "event_id"], "aggregations": specs})
+    return df.select("event_type", F.concat_ws(",", F.array_sort("users").cast("array<string>")).alias("users"))
+
+
+@query("SELECT 'aggregate:day:' || epoch_ms(date_trunc('day', ts)) || ':' || (epoch_ms(date_trunc('day', ts)) + 86400000) || ':global' AS id, count(*) AS n FROM events GROUP BY 1")
+def agg_identity(spark: SparkSession, sf: str) -> DataFrame:
+    config = {**_TIMED, "mode": "GLOBAL", "windowSize": 24, "aggregations": _SUMS[:1]}
+    return REGISTRY["AGGREGATE"]({DEFAULT_IN: table(spark, sf, "events")}, config, Context("day"))[DEFAULT_OUT].select(F.col("_id").alias("id"), "n")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
+def dedup_event_time_first(spark: SparkSession, sf: str) -> DataFrame:
+    config = {"keyFields": ["user_id"], "timeMode": "EVENT_TIME", "eventTimeField": "ts", "windowSeconds": 86400, "orderBy": ["ts", "event_id"]}
+    return apply(table(spark, sf, "events"), "DEDUPLICATE", config).select("user_id", "event_id")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id FROM nation UNION ALL SELECT r_name FROM region")
+def union_mixed_types(spark: SparkSession, sf: str) -> DataFrame:
+    return union([table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), table(spark, sf, "region").select(F.col("r_name").alias("id"))])
+
+
+_LOOKED_UP = [{"key": str(i), "value": {"half": i // 2}} for i in range(0, 1000, 2)]
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey < 1000 THEN p_partkey // 2 END AS half FROM part")
+def lookup_join_broadcast(spark: SparkSession, sf: str) -> DataFrame:
+    """More entries than a literal map takes."""
+    return apply(table(spark, sf, "part"), "LOOKUP_JOIN", {"sourceField": "p_partkey", "targetField": "d", "entries": _LOOKED_UP}).select("p_partkey", F.col("d.half").cast("long").alias("half"))
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def file_parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return _round_trip(spark, table(spark, sf, "part"), {"file_format_type": "PARQUET"}).select("p_partkey", "p_name", "p_retailprice")
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def file_orc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return _round_trip(spark, table(spark, sf, "part"), {"file_format_type": "ORC"}).select("p_partkey", "p_name", "p_retailprice")
+
+
+@query("SELECT s_name || '|' || s_nationkey AS _message FROM supplier")
+def file_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    config = {"file_format_type": "TEXT", "field_delimiter": "|", "sink_columns": ["s_name", "s_nationkey"]}
+    return _round_trip(spark, table(spark, sf, "supplier"), config).select("_message")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def file_partitioned_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The partition field stands both in the folder and in the file."""
+    config = {"file_format_type": "JSON", "schema": "c_custkey bigint, c_mktsegment string", "partition_by": ["c_mktsegment"], "custom_filename": True}
+    return _round_trip(spark, table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), config).select("c_custkey", "c_mktsegment")
+
+
+def _streamed(spark: SparkSession, sf: str, operator: str, config: dict[str, Any], name: str = "events") -> DataFrame:
+    """A table through an operator as a stream that ends when all is read; the output as a written table."""
+    home = f"{shared_folder(spark)}/sparkloom/stream-{uuid.uuid4().hex}"
+    given = table(spark, sf, name)
+    stream = spark.readStream.schema(given.schema).parquet(f"{sf}/{name}.parquet*")
+    out = apply(stream, operator, config).drop(*RESERVED)
+    writer = out.writeStream.format("parquet").outputMode("append").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint")
+    with stateful_streams(spark):
+        query_ = writer.trigger(availableNow=True).start()
+        query_.awaitTermination()
+    if query_.exception():
+        raise query_.exception()
+    return spark.read.schema(out.schema).parquet(f"{home}/out")
+
+
+@query("SELECT event_id, user_id FROM events WHERE value > 100")
+def stream_filter(spark: SparkSession, sf: str) -> DataFrame:
+    home = _streamed(spark, sf, "EVAL", {"targetField": "large", "expression": "value > 100"})
+    return home.where("large").select("event_id", "user_id")
+
+
+@query("SELECT epoch_ms(date_trunc('day', ts)) AS windowStart, count(*) AS n FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1")
+def stream_agg_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that the watermark has passed; the last day is still open when the input ends."""
+    config = {**_TIMED, "mode": "GLOBAL", "windowSize": 24, "watermarkDelay": 0, "aggregations": _SUMS[:1]}
+    return _streamed(spark, sf, "AGGREGATE", config).select("windowStart", "n")
+
+
+@query("SELECT user_id, CAST(10 AS BIGINT) AS n FROM (SELECT user_id, count(*) // 10 AS w FROM events GROUP BY user_id), range(1000000) r WHERE r.range < w")
+def stream_count_window(spark: SparkSession, sf: str) -> DataFrame:
+    config = {"mode": "GROUPED", "groupBy": ["user_id"], "windowType": "COUNT", "countWindowSize": 10, "outputMode": "FLAT", "aggregations": _SUMS[:1]}
+    return _streamed(spark, sf, "AGGREGATE", config).select("user_id", "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sparkloom.model import ConfigError, Node, Pipeline
+from sparkloom.paths import Field, as_text, column
 
 
 def topological(pipeline: Pipeline) -> list[Node]:
@@ -31,18 +32,20 @@ def topological(pipeline: Pipeline) -> list[Node]:
 def union(parts: list[DataFrame]) -> DataFrame:
     """All records of several outputs; fields that one lacks are null there.
 
-    A field of different types becomes text, as records have no common schema.
+    A field of different types becomes text, as records have no common schema;
+    numbers of different types alone stay numbers, of the widest type.
     """
     if len(parts) == 1:
         return parts[0]
-    types: dict[str, set[str]] = {}
+    types: dict[str, dict[str, T.DataType]] = {}
     for df in parts:
         for f in df.schema.fields:
-            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+            types.setdefault(f.name, {})[f.dataType.simpleString()] = f.dataType
+    mixed = {n for n, t in types.items() if len(t) > 1 and not all(isinstance(x, T.NumericType) for x in t.values())}
     aligned = []
     for df in parts:
         for f in df.schema.fields:
-            if len(types[f.name]) > 1 and not isinstance(f.dataType, (T.StructType, T.NumericType)):
-                df = df.withColumn(f.name, df[f.name].cast("string"))
+            if f.name in mixed:
+                df = df.withColumn(f.name, as_text(Field(column(f.name), f.dataType)))
         aligned.append(df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)

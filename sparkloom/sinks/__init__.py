@@ -6,7 +6,9 @@ import json
 import re
 import time
 import urllib.parse
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -104,21 +106,29 @@ def _upsert(df: DataFrame, rows: DataFrame, config: dict[str, Any], table: str,
     cased = {k.lower(): f.name for k, f in types.items()}
     match = " and ".join(f"t.{quote(cased[k.lower()])} = s.{quote(cased[k.lower()])}" for k in keys)
     others = [c for c in writer_columns if c.lower() not in {k.lower() for k in keys}]
-    connection = connect()
+    connection, made = connect(), False
     try:
         statement = connection.createStatement()
         listed = ", ".join(quote(c) for c in writer_columns)
         statement.execute(f"create table {staging} as select {listed} from {table} with no data")
+        made = True
         last.write.format("jdbc").mode("append").options(**options).option("dbtable", staging).save()
         connection.setAutoCommit(False)
         updates = ", ".join(f"{quote(c)} = (select s.{quote(c)} from {staging} s where {match})" for c in others)
         statement.execute(f"update {table} t set {updates} where exists (select 1 from {staging} s where {match})")
         statement.execute(f"insert into {table} ({listed}) select {', '.join('s.' + quote(c) for c in writer_columns)} from {staging} s where not exists (select 1 from {table} t where {match})")
         connection.commit()
-        connection.setAutoCommit(True)
-        statement.execute(f"drop table {staging}")
+    except Exception:
+        if not connection.getAutoCommit():
+            connection.rollback()
+        raise
     finally:
-        connection.close()
+        try:
+            connection.setAutoCommit(True)
+            if made:
+                statement.execute(f"drop table {staging}")
+        finally:
+            connection.close()
 
 
 def filled(template: str, df: DataFrame) -> Column:
@@ -251,15 +261,72 @@ def time_series(df: DataFrame, config: dict[str, Any]) -> None:
     line_protocol(df, config).foreachPartition(write)
 
 
+def _folder(df: DataFrame, config: dict[str, Any], by: list[str]) -> Column:
+    """The partition folder of a record: ``partition_dir_expression`` filled in, or ``field=value`` for each field."""
+    safe = lambda name: F.regexp_replace(F.coalesce(as_text(lookup(df.schema, name) or Field(F.lit(None), T.StringType())), F.lit("__HIVE_DEFAULT_PARTITION__")), "/", "_")
+    expression = str(config.get("partition_dir_expression") or "/".join(f"{b}=${{{b}}}" for b in by))
+    return F.concat(*[safe(piece.strip()) if i % 2 else F.lit(piece) for i, piece in enumerate(_PLACEHOLDER.split(expression))])
+
+
+def _file_prefix(config: dict[str, Any], now: datetime) -> str:
+    """What a file's name begins with: ``file_name_expression`` with ``${now}`` in ``filename_time_format``."""
+    if not flag(config, "custom_filename"):
+        return ""
+    pattern = str(config.get("filename_time_format") or "yyyy.MM.dd")
+    for letters, code in (("yyyy", "%Y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("ss", "%S")):
+        pattern = pattern.replace(letters, code)
+    return str(config.get("file_name_expression") or "part-${now}").replace("${now}", now.strftime(pattern)).replace("/", "_") + "-"
+
+
 def files(df: DataFrame, config: dict[str, Any]) -> None:
-    """Files below a path, in partition folders; Spark names the files."""
-    form, path = file_format(config), file_path(config)
+    """Files below a path, in partition folders.
+
+    Spark's own folders lack the partition fields in the files, and Spark names
+    the files.  Where a configuration wants it otherwise, files are written beside
+    the target and then moved, each by one rename, so that no reader sees a part
+    of one.
+    """
     by = names(config, "partition_by")
+    keeps = flag(config, "is_partition_field_write_in_file", True) and bool(by)
+    if not keeps and not flag(config, "custom_filename") and not config.get("partition_dir_expression"):
+        return _write_files(df, config, file_path(config), by)
+    spark, path = df.sparkSession, file_path(config).rstrip("/")
+    beside = f"{path}/.loom-{uuid.uuid4().hex}"
+    if keeps or config.get("partition_dir_expression"):
+        wanted = names(config, "sink_columns") or [c for c in sorted(fields_of(df)) if keeps or c not in by]
+        rows, inner = df.withColumn("_loom_folder", _folder(df, config, by)), {**config, "sink_columns": wanted, "write_mode": "append"}
+        folders = ["_loom_folder"]
+    else:
+        rows, inner, folders = df, {**config, "write_mode": "append"}, by
+    _write_files(rows, inner, beside, folders)
+    home = spark._jvm.org.apache.hadoop.fs.Path
+    system = home(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix, listed = _file_prefix(config, datetime.now()), system.listFiles(home(beside), True)
+    if str(config.get("write_mode") or "append") == "overwrite":
+        for status in system.listStatus(home(path)):
+            if not status.getPath().getName().startswith(".loom-"):
+                system.delete(status.getPath(), True)
+    try:
+        while listed.hasNext():  # one rename a file, as Spark's own commit does
+            found = listed.next().getPath()
+            if found.getName().startswith(("_", ".")):
+                continue
+            between = found.getParent().toString().split(beside.rsplit("/", 1)[1], 1)[1].strip("/")
+            if folders == ["_loom_folder"]:
+                between = urllib.parse.unquote(between.split("=", 1)[1])
+            target = home(f"{path}/{between}".rstrip("/"))
+            system.mkdirs(target)
+            if not system.rename(found, home(target, f"{prefix}{found.getName()}")):
+                raise OSError(f"cannot move {found.toString()}")
+    finally:
+        system.delete(home(beside), True)
+
+
+def _write_files(df: DataFrame, config: dict[str, Any], path: str, folders: list[str]) -> None:
+    """Files in Spark's folders, without the fields that name these."""
+    form = file_format(config)
     wanted = names(config, "sink_columns") or sorted(fields_of(df))
-    # Spark takes partition columns out of the files.  Where they are to stay, folders get copies named ``<field>_part``.
-    inside = flag(config, "is_partition_field_write_in_file", True) and set(by) & set(wanted)
-    folders = [f"{b}_part" for b in by] if inside else by
-    rows = df.select(*[column(c) for c in wanted if c in df.columns and (inside or c not in by)], *[column(b).alias(f) for b, f in zip(by, folders, strict=True)])
+    rows = df.select(*[column(c) for c in wanted if c in df.columns and c not in folders], *[column(f) for f in folders])
     mode = str(config.get("write_mode") or "append")
     options = {k: str(config[o]) for k, o in (("encoding", "encoding"), ("compression", "compress_codec")) if config.get(o) and str(config[o]).lower() != "none"}
     writer = lambda part: part.write.mode(mode).partitionBy(*folders).options(**options)

@@ -102,14 +102,14 @@ def kafka_records(raw: DataFrame, config: dict[str, Any]) -> DataFrame:
     return parse_payload(rows, choice(config, "format", ("JSON", "TEXT"), "JSON"), config.get("schema"))
 
 
-def cursor_literal(value: object, kind: str) -> str:
-    """A cursor as a SQL literal."""
+def cursor_literal(value: object, kind: str, url: str = "") -> str:
+    """A cursor as a SQL literal of the database at ``url``."""
     if kind == "LONG":
         return str(int(value))
     if kind == "DOUBLE":
         return repr(float(value))
     quoted = "'" + str(value).replace("'", "''") + "'"
-    return f"TIMESTAMP {quoted}" if kind == "TIMESTAMP" and "jdbc:derby" not in str(value) else quoted
+    return f"TIMESTAMP {quoted}" if kind == "TIMESTAMP" and not url.startswith("jdbc:derby") else quoted
 
 
 def jdbc_query(config: dict[str, Any], cursor: object = None) -> str:
@@ -128,7 +128,7 @@ def jdbc_query(config: dict[str, Any], cursor: object = None) -> str:
     field = text(config, "cursorField")
     if not re.fullmatch(r'"?[A-Za-z_][\w$]*"?', field):
         raise ConfigError("cursorField must be a column name")
-    where = f" where {field} > {cursor_literal(cursor, choice(config, 'cursorType', ('STRING', 'LONG', 'DOUBLE', 'TIMESTAMP'), 'STRING'))}" if cursor is not None else f" where {field} is not null"
+    where = f" where {field} > {cursor_literal(cursor, choice(config, 'cursorType', ('STRING', 'LONG', 'DOUBLE', 'TIMESTAMP'), 'STRING'), str(config.get('url') or ''))}" if cursor is not None else f" where {field} is not null"
     return f"select * from {base} loom_source{where}"
 
 
@@ -269,7 +269,7 @@ def files(spark: SparkSession, config: dict[str, Any], streaming: bool) -> DataF
         df = df.join(firsts, "_file").where(F.col("_line") - F.col("_first") >= skipped).drop("_line", "_first")
     segments: list[str] = []
     if flag(config, "parse_partition_from_path"):
-        segments = names(config, "partition_columns") or _partition_names(spark, path, streaming)
+        segments = names(config, "partition_columns") or (_partition_names(spark, path) if streaming else _partitions_of([path, *df.inputFiles()]))
     if form in ("JSON", "TEXT"):
         df = parse_payload(df.where(F.trim("value") != "").withColumnRenamed("value", "_payload"), form, schema if form == "JSON" else None)
     for name in segments:
@@ -281,15 +281,19 @@ def files(spark: SparkSession, config: dict[str, Any], streaming: bool) -> DataF
     return identified(df, config, F.concat(F.col("_file"), F.lit(":"), F.expr("uuid()"))).drop("_file")
 
 
-def _partition_names(spark: SparkSession, path: str, streaming: bool) -> list[str]:
-    """Names of ``k=v`` folders on the way to the files, found through Spark's file system."""
+def _partitions_of(paths: list[str]) -> list[str]:
+    """Names of ``k=v`` folders on the way to any of the files."""
+    return list(dict.fromkeys(n for p in paths for n in re.findall(r"/([^/=]+)=[^/]*(?=/|$)", p)))
+
+
+def _partition_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of ``k=v`` folders below a stream's path, whose files Spark has not listed yet."""
     home = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = home.getFileSystem(spark._jsc.hadoopConfiguration())
-    listed = system.listFiles(home, True)
-    found: dict[str, None] = dict.fromkeys(re.findall(r"/([^/=]+)=[^/]*", path))
-    if listed.hasNext():
-        found |= dict.fromkeys(re.findall(r"/([^/=]+)=[^/]*(?=/)", listed.next().getPath().toString()))
-    return list(found)
+    listed, paths = system.listFiles(home, True), [path]
+    while listed.hasNext():
+        paths.append(listed.next().getPath().getParent().toString())
+    return _partitions_of(paths)
 
 
 SOURCES = {"KAFKA_SOURCE": kafka, "JDBC_SOURCE": jdbc, "ELASTICSEARCH_SOURCE": search_index, "INFLUXDB_SOURCE": time_series, "HDFS_FILE_SOURCE": files}
