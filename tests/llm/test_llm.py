@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import sys
 import time
 from itertools import combinations
@@ -484,20 +483,101 @@ def test_toxicity(spark):
     assert toxicity.Scorer(toxicity.ToxicityModel()).segments(None) == ([], 0.0)
 
 
-def test_queries_and_pipeline(spark, folder, tmp_path):
-    import corpus_pipeline
+def test_long_texts_take_seconds(spark):
+    """One text of thousands of matches, and one run of 100,000 characters."""
+    rng = np.random.default_rng(9)
+    hexes = " ".join(bytes(rng.integers(0, 256, 20).tolist()).hex() + " mail a.b@c.de" for _ in range(5000))
+    run = "".join(secrets.CLASSES[-1].alphabet[i] for i in rng.integers(0, 66, 100_000))
+    texts = [hexes, "x " + run, ("tel: +49 30 1234567 " * 2000)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    began = time.perf_counter()
+    for found, spans in ((secrets.find_secrets(docs), brute.secret_spans), (pii.find_personal(docs), brute.personal_spans)):
+        got = {r["doc_id"]: sorted((s["start"], s["kind"], s["end"]) for s in r["base"]) for r in found.collect()}
+        assert got == {i: sorted(spans(t)) for i, t in enumerate(texts)}
+    assert time.perf_counter() - began < 150
+
+
+def test_entropy_against_a_plain_version(spark):
+    rng = np.random.default_rng(10)
+    alphabet = secrets.CLASSES[-1].alphabet
+    texts = ["".join(alphabet[i] for i in rng.integers(0, k, n)) for k in (2, 9, 40, 66) for n in (1, 19, 20, 21, 90)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["e"] for r in docs.select("t", secrets.peak_entropy(F.col("t"), alphabet, 20).alias("e")).collect()}
+    for t in texts:
+        parts = [t[i : i + 20] for i in range(len(t) - 19)]
+        assert got[t] == pytest.approx(max((-sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w)) for w in parts), default=0.0))
+
 
+def test_columns_of_the_queries(spark, folder):
+    """Digests, counts and held-out marks of the registered queries, row by row."""
     made = queries.queries()
-    n = len(corpus())
-    for name in ("op1_mix", "op2_language", "op7_shard", "op9_toxicity"):
-        assert made[name](spark, folder).count() == n, name
+    for name, spans, kinds in (("op3_secrets", brute.secret_spans, secrets.KINDS), ("op8_pii", brute.personal_spans, pii.KINDS)):
+        rows = made[name](spark, folder).collect()
+        n = 3 if name == "op3_secrets" else 4
+        got = sorted((str(r["doc_id"]), *(r[f"n_{k}"] for k in kinds[:n]), r["base_sha256"]) for r in rows)
+        plain = [(str(i), spans(t)) for i, t, *_ in corpus()]
+        assert got == sorted((i, *(sum(s[1] == k for s in found) for k in range(n)), brute.digest(found, kinds)) for i, found in plain)
+        assert all({f"{kinds[k]}:{a}:{b}" for a, k, b in spans(t)} <= set(r["spans"].split(",")) for r in rows for i, t, *_ in corpus() if i == r["doc_id"] and i not in (3, None))
+    for name, fold, part in (("op2_language", 5, 0), ("op9_toxicity", 3, 1)):
+        assert all(r["held_out"] == (r["doc_id"] is None or brute.crc(r["doc_id"]) % fold == part) for r in made[name](spark, folder).collect())
+    kept = sorted((str(r["doc_id"]), r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in made["op10_suffixes"](spark, folder).collect())
+    texts = [(r[1] or "").encode() for r in corpus()]
+    wanted = []
+    for (i, *_), t, runs in zip(corpus(), texts, brute.repeated_bytes(texts, 200), strict=True):
+        rest = b"".join(t[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(t)], strict=True))
+        wanted.append((str(i), sum(e - s for s, e in runs), len(runs), hashlib.sha256(rest).hexdigest()))
+    assert kept == sorted(wanted)
+
+
+def test_pipeline_against_plain_versions(spark, folder, tmp_path):
+    """Every stage's rows against a plain version of the stage, on what its predecessor kept."""
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r["item_id"] is not None]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
+    key = lambda r: (str(r["doc_id"]), r["text"])
     for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
         out = stage(spark, docs, folder)
         assert name == "sharding" or out.columns == docs.columns
         out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-    assert docs.count() > 0 and json.dumps(sorted(docs.columns))
+        after = spark.read.parquet(str(tmp_path / name))
+        rows = after.collect()
+        if name == "toxicity":
+            model = toxicity.fit_toxicity(docs, labels)
+            scorer = toxicity.Scorer(model)
+            assert sorted(map(str, map(key, rows))) == sorted(str(key(r)) for r in before if scorer.probability(scorer.segments(r["text"])[1]) < 0.7)
+        elif name == "near_duplicates":
+            known = [(i, r["text"]) for i, r in enumerate(before)]
+            group = {i: root for i, (_, root) in brute.jaccard_components(known, 5, 80).items()}
+            wanted: dict = {}
+            for i, r in enumerate(before):
+                place = group[i] if (r["text"] or "").split() else (i, "alone")
+                wanted[place] = min([wanted[place], r] if place in wanted else [r], key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0))
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in wanted.values())
+        elif name == "decontamination":
+            leaky = {r["doc_id"] for r in before for _, t in items if t and r["text"] and " ".join(decontamination.words_of(t)[k].decode() for k in range(len(decontamination.words_of(t)))) in " ".join(w.decode() for w in decontamination.words_of(r["text"]))}
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in before if r["doc_id"] not in leaky) and leaky
+        elif name == "mixing":
+            slim = mixing.slim_rows(docs).collect()
+            plain = plain_mix([(r["_source"], r["_size"], r["_u"], r["_class"]) for r in slim])
+            copies = {str(r["_id"]): plain[r["_source"], r["_size"], r["_u"], r["_class"]] if r["_size"] else 1 for r in slim}
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(i for i, n in copies.items() for _ in range(n))
+        else:
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in before)
+            assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in {r["shard"] for r in rows})
+        docs = after
+
+
+def test_empty_tables(spark, tmp_path):
+    path = str(tmp_path / "none")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    for name, run in queries.queries().items():
+        if name != "op5_neighbours":
+            assert run(spark, path).count() == 0, name
 
 
 def test_join_sql(spark):
