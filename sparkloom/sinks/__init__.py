@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.model import MESSAGE, RECORD_ID, RECORD_TIME, RESERVED, ConfigError, choice, flag, names, number, text
+from sparkloom.model import MESSAGE, RECORD_ID, RECORD_ORDER, RECORD_TIME, RESERVED, ConfigError, choice, flag, names, number, text
 from sparkloom.paths import Field, as_text, column, lookup
-from sparkloom.sources import delimiter, file_format, file_path, kafka_options
+from sparkloom.sources import TABLE_PATH, delimiter, file_format, file_path, kafka_options
 from sparkloom.sources.http import auth_headers, base_url, request
 from sparkloom.sources.time_series import UNIT_MS, epoch_unit
 
@@ -51,25 +51,27 @@ def kafka(df: DataFrame, config: dict[str, Any]) -> None:
     payload(df, config).write.format("kafka").options(**kafka_write_options(config)).save()
 
 
-def selected(df: DataFrame, paths: list[str]) -> DataFrame:
-    """Fields at dotted paths as columns of those names; structs, arrays and maps as JSON."""
+def selected(df: DataFrame, paths: list[str], *beside: str) -> DataFrame:
+    """Fields at dotted paths as columns of those names; structs, arrays and maps as JSON.  Columns ``beside`` stay as they are."""
     out = []
     for p in paths:
         found = lookup(df.schema, p)
         nested = found is not None and isinstance(found.type, (T.StructType, T.ArrayType, T.MapType))
         out.append((as_text(found) if nested else found.column if found else F.lit(None).cast("string")).alias(p.rsplit(".", 1)[-1]))
-    return df.select(*out)
+    return df.select(*out, *beside)
 
 
 def jdbc(df: DataFrame, config: dict[str, Any]) -> None:
     """INSERT appends; UPSERT updates by key and inserts what was not there.
 
-    Upserted rows are first reduced to the last of each key, so that no key is
-    written twice, and reach the database through one connection a partition.
+    Upserted rows are first reduced to one of each key, so that no key is
+    written twice: the last by ``orderBy``, else by time and order of the records,
+    else as Spark numbers its rows.  They go to a staging table, and two statements
+    of one transaction bring them over inside the database.
     """
     mode = choice(config, "writeMode", ("INSERT", "UPSERT"), "INSERT")
     table, paths = text(config, "tablePath"), names(config, "fields", required=True)
-    if not re.fullmatch(r"[A-Za-z_][\w$]*(\.[A-Za-z_][\w$]*){0,2}", table):
+    if not TABLE_PATH.fullmatch(table):
         raise ConfigError("tablePath must be a table name, with schema and catalogue at most")
     rows, size = selected(df, paths), number(config, "batchSize", 500, 1)
     if mode == "INSERT":
@@ -86,13 +88,15 @@ def jdbc(df: DataFrame, config: dict[str, Any]) -> None:
 
 
 def _upsert(df: DataFrame, rows: DataFrame, config: dict[str, Any], table: str, keys: list[str], size: int) -> None:
-    """Through a staging table and one MERGE-like pair of statements, all inside the database."""
+    """Through a staging table, in statements that databases share; names are quoted as the database does."""
     from sparkloom.operators.base import order_key
 
     spark = df.sparkSession
-    ordered = rows.withColumn("_at", F.monotonically_increasing_id()) if not config.get("orderBy") else selected(df.withColumn("_at", order_key(df, config)), [*names(config, "fields"), "_at"])
-    last = ordered.groupBy(*[column(k) for k in keys]).agg(F.max_by(F.struct(*[column(c) for c in rows.columns]), "_at").alias("_row")).select("_row.*")
-    staging = f"{table}_loom_{time.time_ns() % 10**9}"
+    known = config.get("orderBy") or any(c in df.columns for c in (RECORD_TIME, RECORD_ORDER))
+    numbered = df.withColumn("_loom_at", F.struct(*([order_key(df, config).alias("order")] if known else []), F.monotonically_increasing_id().alias("row")))
+    ordered = selected(numbered, names(config, "fields"), "_loom_at")
+    last = ordered.groupBy(*[column(k) for k in keys]).agg(F.max_by(F.struct(*[column(c) for c in rows.columns]), "_loom_at").alias("_row")).select("_row.*")
+    staging = re.sub(r"""(["`]?)\Z""", rf"_loom_{uuid.uuid4().hex[:12]}\1", table, count=1)
     target = {k: str(config[k]) for k in ("username", "password", "driver") if config.get(k)}
     options = {"url": text(config, "url"), "batchsize": str(size)} | {o: target[k] for k, o in (("driver", "driver"), ("username", "user"), ("password", "password")) if k in target}
     types = {f.name.lower(): f for f in spark.read.format("jdbc").options(**options).option("dbtable", table).load().schema.fields}
@@ -102,21 +106,21 @@ def _upsert(df: DataFrame, rows: DataFrame, config: dict[str, Any], table: str,
     if "driver" in target:
         spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(target["driver"])
     connect = lambda: manager.getConnection(text(config, "url"), target.get("username", ""), target.get("password", "")) if target.get("username") else manager.getConnection(text(config, "url"))
-    quote = lambda c: '"' + c + '"'
+    quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(text(config, "url")).quoteIdentifier
     cased = {k.lower(): f.name for k, f in types.items()}
-    match = " and ".join(f"t.{quote(cased[k.lower()])} = s.{quote(cased[k.lower()])}" for k in keys)
+    match = " and ".join(f"{table}.{quote(cased[k.lower()])} = s.{quote(cased[k.lower()])}" for k in keys)
     others = [c for c in writer_columns if c.lower() not in {k.lower() for k in keys}]
     connection, made = connect(), False
     try:
         statement = connection.createStatement()
         listed = ", ".join(quote(c) for c in writer_columns)
-        statement.execute(f"create table {staging} as select {listed} from {table} with no data")
+        statement.execute(_empty_copy(text(config, "url"), table, staging, listed))
         made = True
         last.write.format("jdbc").mode("append").options(**options).option("dbtable", staging).save()
         connection.setAutoCommit(False)
         updates = ", ".join(f"{quote(c)} = (select s.{quote(c)} from {staging} s where {match})" for c in others)
-        statement.execute(f"update {table} t set {updates} where exists (select 1 from {staging} s where {match})")
-        statement.execute(f"insert into {table} ({listed}) select {', '.join('s.' + quote(c) for c in writer_columns)} from {staging} s where not exists (select 1 from {table} t where {match})")
+        statement.execute(f"update {table} set {updates} where exists (select 1 from {staging} s where {match})")
+        statement.execute(f"insert into {table} ({listed}) select {', '.join('s.' + quote(c) for c in writer_columns)} from {staging} s where not exists (select 1 from {table} where {match})")
         connection.commit()
     except Exception:
         if not connection.getAutoCommit():
@@ -131,6 +135,13 @@ def _upsert(df: DataFrame, rows: DataFrame, config: dict[str, Any], table: str,
             connection.close()
 
 
+def _empty_copy(url: str, table: str, staging: str, columns: str) -> str:
+    """The statement that makes an empty table with the target's types."""
+    if url.startswith("jdbc:sqlserver:"):
+        return f"select {columns} into {staging} from {table} where 1 = 0"
+    return f"create table {staging} as select {columns} from {table} " + ("with no data" if url.startswith("jdbc:derby:") else "where 1 = 0")
+
+
 def filled(template: str, df: DataFrame) -> Column:
     """A template with ``${field}``; null where a field is."""
     parts = []

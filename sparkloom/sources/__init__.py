@@ -16,7 +16,8 @@ from sparkloom.paths import as_text, column, lookup
 from sparkloom.sources.search_index import SearchIndexSource
 from sparkloom.sources.time_series import UNIT_MS, TimeSeriesSource, checked_query, epoch_unit
 
-_PLAIN_PATH = re.compile(r"[A-Za-z_][\w$]*(\.[A-Za-z_][\w$]*){0,2}")
+#: Names of a table with schema and catalogue at most, each plain or in quotes.
+TABLE_PATH = re.compile(r"""([\w$]+|"[\w$]+"|`[\w$]+`)(\.([\w$]+|"[\w$]+"|`[\w$]+`)){0,2}""", re.ASCII)
 
 
 def parse_payload(df: DataFrame, form: str, schema: str | None, payload: str = "_payload") -> DataFrame:
@@ -112,8 +113,8 @@ def cursor_literal(value: object, kind: str, url: str = "") -> str:
     return f"TIMESTAMP {quoted}" if kind == "TIMESTAMP" and not url.startswith("jdbc:derby") else quoted
 
 
-def jdbc_query(config: dict[str, Any], cursor: object = None) -> str:
-    """The checked query or table, restricted to rows after a cursor."""
+def jdbc_query(config: dict[str, Any], cursor: object = None, until: object = None) -> str:
+    """The checked query or table, restricted to rows after a cursor, and up to another."""
     if config.get("query"):
         base = str(config["query"]).strip().rstrip(";").strip()
         if not base.lower().startswith("select ") or ";" in base:
@@ -121,35 +122,42 @@ def jdbc_query(config: dict[str, Any], cursor: object = None) -> str:
         base = f"({base})"
     else:
         base = text(config, "tablePath")
-        if not _PLAIN_PATH.fullmatch(base):
+        if not TABLE_PATH.fullmatch(base):
             raise ConfigError("tablePath must be a table name, with schema and catalogue at most")
     if not config.get("cursorField"):
         return f"select * from {base} loom_source"
     field = text(config, "cursorField")
     if not re.fullmatch(r'"?[A-Za-z_][\w$]*"?', field):
         raise ConfigError("cursorField must be a column name")
-    where = f" where {field} > {cursor_literal(cursor, choice(config, 'cursorType', ('STRING', 'LONG', 'DOUBLE', 'TIMESTAMP'), 'STRING'), str(config.get('url') or ''))}" if cursor is not None else f" where {field} is not null"
-    return f"select * from {base} loom_source{where}"
+    literal = lambda value: cursor_literal(value, choice(config, "cursorType", ("STRING", "LONG", "DOUBLE", "TIMESTAMP"), "STRING"), str(config.get("url") or ""))
+    where = f"{field} > {literal(cursor)}" if cursor is not None else f"{field} is not null"
+    return f"select * from {base} loom_source where {where}" + (f" and {field} <= {literal(until)}" if until is not None else "")
 
 
-def jdbc(spark: SparkSession, config: dict[str, Any], streaming: bool) -> DataFrame:
-    """A table or query; ``partitionColumn`` with its bounds reads it in parallel."""
+def read_mode(config: dict[str, Any]) -> tuple[str, dict[str, Any]]:
+    """FULL or INCREMENTAL, and the configuration without the cursor that FULL ignores."""
     mode = choice(config, "readMode", ("FULL", "INCREMENTAL"), "FULL")
     if mode == "INCREMENTAL":
         text(config, "cursorField")
-    elif config.get("cursorField"):
-        config = {k: v for k, v in config.items() if k != "cursorField"}
-    reader = spark.read.format("jdbc").option("url", text(config, "url")).option("fetchsize", number(config, "fetchSize", 1000, 1))
+        return mode, config
+    return mode, {k: v for k, v in config.items() if k not in ("cursorField", "initialCursorValue")}
+
+
+def jdbc_rows(spark: SparkSession, config: dict[str, Any], statement: str, **options: str) -> DataFrame:
+    """Rows of a statement; ``partitionColumn`` with its bounds reads them in parallel."""
+    reader = spark.read.format("jdbc").options(**options).option("url", text(config, "url")).option("fetchsize", number(config, "fetchSize", 1000, 1))
     for key, option in (("driver", "driver"), ("username", "user"), ("password", "password")):
         if config.get(key):
             reader = reader.option(option, str(config[key]))
-    statement = jdbc_query(config, config.get("initialCursorValue"))
-    if config.get("partitionColumn"):
-        for key in ("partitionColumn", "lowerBound", "upperBound", "numPartitions"):
-            reader = reader.option(key, text(config, key))
-        df = reader.option("dbtable", f"({statement}) loom_parts").load()
-    else:
-        df = reader.option("query", statement).load()
+    if not config.get("partitionColumn"):
+        return reader.option("query", statement).load()
+    for key in ("partitionColumn", "lowerBound", "upperBound", "numPartitions"):
+        reader = reader.option(key, text(config, key))
+    return reader.option("dbtable", f"({statement}) loom_parts").load()
+
+
+def described(df: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """Rows of a database as records, their times as ISO texts."""
     if flag(config, "isoTimes", True):
         for f in df.schema.fields:
             if isinstance(f.dataType, T.TimestampType):
@@ -159,6 +167,12 @@ def jdbc(spark: SparkSession, config: dict[str, Any], streaming: bool) -> DataFr
     return identified(df, config)
 
 
+def jdbc(spark: SparkSession, config: dict[str, Any], streaming: bool) -> DataFrame:
+    """What a table or query holds now; ``Engine.start`` polls it instead."""
+    _, config = read_mode(config)
+    return described(jdbc_rows(spark, config, jdbc_query(config, config.get("initialCursorValue"))), config)
+
+
 def _served(spark: SparkSession, source: type, config: dict[str, Any], streaming: bool) -> DataFrame:
     spark.dataSource.register(source)
     cursor = config.get("initialCursorValue")
@@ -173,8 +187,8 @@ def _served(spark: SparkSession, source: type, config: dict[str, Any], streaming
 
 
 def search_index(spark: SparkSession, config: dict[str, Any], streaming: bool) -> DataFrame:
-    if not re.fullmatch(r"[a-z0-9*_.,-]+", text(config, "index")):
-        raise ConfigError("index must be made of lower-case letters, digits and * _ . , -")
+    if not re.fullmatch(r"[A-Za-z0-9*_.,+-]+", text(config, "index")):
+        raise ConfigError("index must be made of letters, digits and * _ . , + -")
     query = config.get("query") or {}
     passed = {**config, "hosts": json.dumps(names(config, "hosts", required=True)), "source": json.dumps(names(config, "source")), "query": query if isinstance(query, str) else json.dumps(query)}
     df = _served(spark, SearchIndexSource, passed, streaming)

@@ -18,7 +18,19 @@ def auth_headers(config: dict[str, Any]) -> dict[str, str]:
     if kind == "API_KEY":
         pair = f"{config['apiKeyId']}:{config['apiKey']}" if config.get("apiKeyId") else str(config["apiKey"])
         return {"Authorization": "ApiKey " + base64.b64encode(pair.encode()).decode()}
-    return {"Authorization": f"ApiKey {config['apiKey']}"} if kind == "API_KEY_ENCODED" else {}
+    return {"Authorization": f"ApiKey {config.get('apiKeyEncoded') or config['apiKey']}"} if kind == "API_KEY_ENCODED" else {}
+
+
+def polls_left(config: dict[str, Any], offset: dict) -> bool:
+    """Whether a stream at ``offset`` may poll again under ``maxPolls`` (0: always)."""
+    most = int(config.get("maxPolls") or 0)
+    return not most or offset.get("polls", 0) < most
+
+
+def next_offset(config: dict[str, Any], offset: dict, cursor: Any) -> dict:
+    """The offset after a poll; polls are counted only where they are bounded, so that an idle stream stands still."""
+    counted = {"polls": offset.get("polls", 0) + 1} if int(config.get("maxPolls") or 0) else {}
+    return {"cursor": json.dumps(cursor), **counted}
 
 
 def request(method: str, url: str, body: bytes | None = None, headers: dict[str, str] | None = None, timeout: float = 30) -> bytes:

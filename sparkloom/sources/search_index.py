@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from sparkloom.sources.http import auth_headers, base_url, request_json
+from sparkloom.sources.http import auth_headers, base_url, next_offset, polls_left, request_json
 
 
 def _body(options: dict, cursor: object, slice_: tuple[int, int] | None) -> dict:
@@ -94,6 +94,8 @@ class _Stream(SimpleDataSourceStreamReader):
         return {"cursor": self.options.get("initialCursor") or "null"}
 
     def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
+        if not polls_left(self.options, start):
+            return iter([]), start
         field, last = self.options["cursorField"], json.loads(start["cursor"])
         rows = []
         for record in scroll(self.options, last):
@@ -101,7 +103,7 @@ class _Stream(SimpleDataSourceStreamReader):
             if value is not None:
                 rows.append((json.dumps(record),))
                 last = value
-        return iter(rows), {"cursor": json.dumps(last)}
+        return iter(rows), next_offset(self.options, start, last)
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
         field, last = self.options["cursorField"], json.loads(end["cursor"])

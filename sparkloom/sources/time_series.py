@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from sparkloom.model import ConfigError
-from sparkloom.sources.http import base_url, request_json
+from sparkloom.sources.http import base_url, next_offset, polls_left, request_json
 
 #: Milliseconds of an epoch unit.
 UNIT_MS = {"n": 1e-6, "u": 1e-3, "ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
@@ -83,10 +83,12 @@ class _Stream(SimpleDataSourceStreamReader):
         return {"cursor": self.config.get("initialCursor") or "null"}
 
     def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
+        if not polls_left(self.config, start):
+            return iter([]), start
         field, last = self.config["cursorField"], json.loads(start["cursor"])
         rows = [r for r in query(self.config, last) if r.get(field) is not None]
         end = max([r[field] for r in rows], default=last)
-        return iter([(json.dumps(r),) for r in rows]), {"cursor": json.dumps(end)}
+        return iter([(json.dumps(r),) for r in rows]), next_offset(self.config, start, end)
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
         field, last = self.config["cursorField"], json.loads(end["cursor"])

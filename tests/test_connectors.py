@@ -2,13 +2,18 @@
 
 import json
 import threading
+import time
+from datetime import datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import sinks, sources
-from sparkloom.model import ConfigError
+from sparkloom.engine import Engine
+from sparkloom.model import ConfigError, Pipeline
+from sparkloom.settings import check_settings
+from sparkloom.sources.search_index import SearchIndexSource
 
 
 @pytest.fixture
@@ -141,3 +146,131 @@ def test_count_windows_of_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     rows = sorted((r["k"], r["_window"], r["n"]) for r in spark.table("windows").collect())
     assert rows == [("a", 0, 0), ("a", 0, 1), ("a", 1, 2), ("a", 1, 3), ("b", 0, 0), ("b", 0, 1)]
+
+
+def _embedded(spark, tmp_path, rows, table="CALLS"):
+    config = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "tablePath": table}
+    _insert(spark, config, rows)
+    return config
+
+
+def _insert(spark, config, rows):
+    df = spark.createDataFrame(rows, "BERTH long, SHIP string, FEE double, MOORED timestamp")
+    df.write.format("jdbc").mode("append").option("createTableColumnTypes", "SHIP varchar(20)").option("url", config["url"]).option("driver", config["driver"]).option("dbtable", config["tablePath"]).save()
+
+
+def _lines(spark, path):
+    return sorted(json.loads(r[0])["BERTH"] for r in spark.read.text(path).collect())
+
+
+@pytest.mark.parametrize(("field", "kind", "first"), [("BERTH", "LONG", 4), ("FEE", "DOUBLE", None), ("SHIP", "STRING", "a"), ("MOORED", "TIMESTAMP", "2031-02-03 00:00:00")])
+def test_a_polled_database_is_a_stream(spark, tmp_path, field, kind, first):
+    """Rows come once, after restarts too; those without a cursor or before the first one never."""
+    at = lambda h: datetime(2031, 2, 3, h, 5, 6, 789_000)
+    config = _embedded(spark, tmp_path, [(5, "b1", 10.5, at(1)), (6, "b2", 20.5, at(2)), (None, "", None, None)])
+    polled = {**config, "readMode": "INCREMENTAL", "cursorField": field, "cursorType": kind, "initialCursorValue": first, "maxPolls": 2, "pollIntervalMillis": 200}
+    out = str(tmp_path / "out")
+    p = {"pipelineId": "calls", "nodes": [{"id": "s", "operator": "JDBC_SOURCE", "config": polled}, {"id": "k", "operator": "HDFS_FILE_SINK", "config": {"path": out, "file_format_type": "JSON"}}], "edges": [{"sourceNodeId": "s", "targetNodeId": "k"}]}
+
+    def pass_over():
+        engine = Engine(spark)
+        for query in engine.start(p, str(tmp_path / "c"), trigger={"availableNow": True}):
+            query.awaitTermination(120)
+            assert query.exception() is None
+
+    pass_over()
+    assert _lines(spark, out) == [5, 6]
+    _insert(spark, config, [(8, "b3", 30.5, at(3)), (7, "b4", 31.5, at(4))])
+    pass_over()
+    pass_over()
+    assert _lines(spark, out) == [5, 6, 7, 8]
+
+
+def test_polls_go_on_beside_a_running_stream(spark, tmp_path):
+    config = _embedded(spark, tmp_path, [(5, "tern", 1.0, None)])
+    source = {**config, "readMode": "INCREMENTAL", "cursorField": "BERTH", "cursorType": "LONG", "pollIntervalMillis": 200}
+    out = str(tmp_path / "out")
+    p = {"pipelineId": "calls", "nodes": [{"id": "s", "operator": "JDBC_SOURCE", "config": source}, {"id": "k", "operator": "HDFS_FILE_SINK", "config": {"path": out, "file_format_type": "JSON"}}], "edges": [{"sourceNodeId": "s", "targetNodeId": "k"}]}
+    engine = Engine(spark)
+    engine.start(p, str(tmp_path / "c"))
+    try:
+        for berths in ([5], [5, 9]):
+            until = time.time() + 60
+            while time.time() < until and not ((tmp_path / "out").exists() and _lines(spark, out) == berths):
+                time.sleep(0.3)
+            assert _lines(spark, out) == berths and engine.status() == {"calls": "RUNNING"}
+            _insert(spark, config, [(9, "auk", 2.0, None)] if berths == [5] else [])
+    finally:
+        engine.stop("calls")
+    assert engine.status() == {}
+
+
+def test_bounded_polls(server):
+    """A poll counts whether it finds rows or not, and there are no more than ``maxPolls``."""
+    host, seen, answers = server
+    hits = lambda *at: {"hits": {"hits": [{"_id": str(a), "_source": {"at": a}} for a in at]}}
+    options = {"hosts": json.dumps([host]), "index": "berths", "cursorField": "at", "maxPolls": 2}
+    tail = SearchIndexSource({"config": json.dumps(options)}).simpleStreamReader(None)
+    offset, found = tail.initialOffset(), []
+    for page in ([hits(3, 4), hits()], [hits()], [hits(9)], [hits(9)]):
+        answers[:] = page
+        rows, offset = tail.read(offset)
+        found += [json.loads(r[0])["at"] for r in rows]
+    assert found == [3, 4] and offset == {"cursor": "4", "polls": 2}
+
+
+def test_upsert_keeps_the_last_by_number(spark, tmp_path):
+    """9 comes before 10, though not as text."""
+    config = _embedded(spark, tmp_path, [(4, "tern", 1.0, None)])
+    df = spark.createDataFrame([(4, "skua", 10), (4, "smew", 9), (5, "knot", 100), (5, "auk", 99)], "BERTH long, SHIP string, nth long")
+    sinks.jdbc(df, {**config, "fields": ["BERTH", "SHIP"], "writeMode": "UPSERT", "keyFields": ["BERTH"], "orderBy": "nth"})
+    assert sorted((r["BERTH"], r["SHIP"]) for r in sources.jdbc(spark, config, False).collect()) == [(4, "skua"), (5, "knot")]
+
+
+GOOD_SETTINGS = {
+    "KAFKA_SOURCE": {"bootstrapServers": "h:1", "topics": "t"},
+    "JDBC_SOURCE": {"url": "jdbc:derby:x", "tablePath": 'harbour."calls"', "readMode": "INCREMENTAL", "cursorField": "at", "cursorType": "LONG"},
+    "ELASTICSEARCH_SOURCE": {"hosts": "http://h:1", "index": "Berths-*"},
+    "INFLUXDB_SOURCE": {"url": "h:1", "database": "harbour", "sql": "select * from tide"},
+    "HDFS_FILE_SOURCE": {"path": "/in", "file_format_type": "CSV"},
+    "KAFKA_SINK": {"bootstrapServers": "h:1", "topic": "t"},
+    "JDBC_SINK": {"url": "jdbc:derby:x", "tablePath": "calls", "fields": "ship,berth", "writeMode": "UPSERT", "keyFields": ["berth"]},
+    "ELASTICSEARCH_SINK": {"hosts": ["h:1"], "index": "berths-${basin}", "authType": "API_KEY_ENCODED", "apiKeyEncoded": "x"},
+    "INFLUXDB_SINK": {"url": "h:1", "database": "harbour", "measurement": "tide_${basin}"},
+    "HDFS_FILE_SINK": {"path": "/out", "file_format_type": "JSON"},
+}
+
+
+@pytest.mark.parametrize(
+    ("operator", "change"),
+    [
+        ("KAFKA_SOURCE", {"topics": []}),
+        ("KAFKA_SOURCE", {"authType": "SASL_PLAIN"}),
+        ("JDBC_SOURCE", {"tablePath": "calls; drop table calls"}),
+        ("JDBC_SOURCE", {"cursorField": None}),
+        ("JDBC_SOURCE", {"initialCursorValue": "noon"}),
+        ("JDBC_SOURCE", {"maxPolls": -1}),
+        ("ELASTICSEARCH_SOURCE", {"hosts": "http://h h"}),
+        ("ELASTICSEARCH_SOURCE", {"scrollTime": "soon"}),
+        ("ELASTICSEARCH_SOURCE", {"authType": "BASIC", "username": "u"}),
+        ("INFLUXDB_SOURCE", {"sql": "drop database harbour"}),
+        ("HDFS_FILE_SOURCE", {"file_filter_pattern": "("}),
+        ("KAFKA_SINK", {"topic": " "}),
+        ("JDBC_SINK", {"keyFields": ["ship", "berth"]}),
+        ("JDBC_SINK", {"fields": "ship,ship"}),
+        ("ELASTICSEARCH_SINK", {"index": "berths-${basin"}),
+        ("ELASTICSEARCH_SINK", {"apiKeyEncoded": ""}),
+        ("INFLUXDB_SINK", {"measurement": "tide ${basin}"}),
+        ("INFLUXDB_SINK", {"keyTags": ["a b"]}),
+        ("HDFS_FILE_SINK", {"file_format_type": "PAPER"}),
+    ],
+)
+def test_settings_are_checked_before_a_run(operator, change):
+    for config, ok in ((GOOD_SETTINGS[operator], True), ({**GOOD_SETTINGS[operator], **change}, False)):
+        p = Pipeline.parse({"nodes": [{"id": "n", "operator": operator, "config": config}]})
+        if ok:
+            check_settings(p)
+        else:
+            with pytest.raises(ConfigError, match="node n: "):
+                check_settings(p)
+        check_settings(p, ["n"])
