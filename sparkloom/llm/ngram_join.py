@@ -338,12 +338,27 @@ def _verify(percent: int):
     return run
 
 
+def _by_block(rows: DataFrame, blocks: DataFrame, share: float = 0.00001) -> DataFrame:
+    """Rows with the columns of their blocks (``home, band, members, ...``); rows of no block are left out.
+
+    Blocks that hold at least ``share`` of all members are at most 1 / ``share`` in
+    number and are broadcast, so that none of them meets in one task; the others
+    are joined by a shuffle.
+    """
+    blocks = stage(blocks.where("members > 1"), "join-blocks")
+    total = blocks.agg(F.sum("members")).collect()[0][0] or 0
+    bound = max(2, math.ceil(share * total))
+    hot, few = F.broadcast(blocks.where(F.col("members") >= bound)), blocks.where(F.col("members") < bound)
+    rest = rows.join(hot.select("home", "band"), ["home", "band"], "left_anti")
+    return rows.join(hot, ["home", "band"]).unionByName(rest.join(few, ["home", "band"]))
+
+
 def _dealt(members: DataFrame, values: DataFrame, tile: int) -> DataFrame:
     """Members with their values, sorted by block; large blocks are dealt to pairs of tiles."""
-    sizes = members.groupBy("home", "band").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")).where("members > 1")
+    blocks = members.groupBy("home", "band").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles"))
     tiles = F.greatest(F.ceil(F.col("members") / tile), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(2), "cid"), tiles.cast("long")).cast("int")
-    dealt = members.join(sizes, ["home", "band"]).withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = _by_block(members, blocks).withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     dealt = dealt.select("home", "band", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), "cid", "tile")
     return dealt.join(values, "cid").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
 
@@ -391,8 +406,8 @@ def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_c
 
     near = prefix_shingles(classes, percent).join(classes.select("cid", "size", "band"), "cid")
     near = stage(near.select("home", "cid", "size", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")), "join-near")
-    alive = near.groupBy("home", "band").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("least")).where("n > 1 and least = band").select("home", "band")
-    members = stage(near.join(alive, ["home", "band"]).select("home", "band", "cid", "size"), "join-members")
+    alive = near.groupBy("home", "band").agg(F.count(F.lit(1)).alias("members"), F.min("own").alias("least")).where("least = band")
+    members = stage(_by_block(near, alive).select("home", "band", "cid", "size"), "join-members")
     unstage(near)
 
     points = classes.select("cid", "point")
@@ -401,9 +416,9 @@ def link_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_c
     wanted = classes.join(paired.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("lead.row_key").alias("row_key"))
     texts = rows.select("row_key", "text").join(wanted, "row_key").select("cid", "text").dropDuplicates(["cid"])
     shingles = stage(texts.mapInArrow(_to_shingles(shingle), "cid long, shingles binary"), "join-shingles")
-    sized = paired.join(classes.select("cid", "size"), "cid")
+    sized = stage(paired.join(classes.select("cid", "size"), "cid"), "join-sized")
     links = stage(_dealt(sized, shingles, tile).mapInArrow(_verify(percent), "u long, v long"), "join-links")
-    unstage(members, paired, shingles)
+    unstage(members, paired, sized, shingles)
 
     roots = stage(components(links), "join-roots")
     unstage(links)
