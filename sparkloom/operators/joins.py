@@ -126,8 +126,8 @@ def _stream_time(df: DataFrame, mode: str, path: object) -> Column:
 def stream_join(inputs: Ports, config: dict, ctx: Context) -> Ports:
     """Pairs with equal keys (as text) and ``left - before <= right <= left + after``.
 
-    In batch an inner join deals both sides to time buckets, so a hot key is
-    spread over its time; in a stream watermarks bound the state.
+    In batch both sides are dealt to time buckets, so a hot key is spread over its
+    time; in a stream watermarks bound the state.
     """
     left, right = inputs["left"], inputs["right"]
     target = text(config, "targetField")
@@ -148,14 +148,12 @@ def stream_join(inputs: Ports, config: dict, ctx: Context) -> Ports:
     if left.isStreaming or right.isStreaming:
         l, r = l.withWatermark("_lt", f"{delay} milliseconds"), r.withWatermark("_rt", f"{delay} milliseconds")
         pairs = l.join(r, equal & near, "inner" if kind == "INNER" else "leftOuter")
-    elif kind == "INNER":
-        size = max(before + after, 1)
-        at = lambda c: F.floor(F.unix_millis(c) / size)
-        low, high = F.floor((F.unix_millis("_lt") - before) / size), F.floor((F.unix_millis("_lt") + after) / size)
-        l = l.where(F.col("_lk").isNotNull()).withColumn("_bucket", F.explode(F.sequence(low, high)))
-        pairs = l.join(r.withColumn("_rb", at(F.col("_rt"))), equal & (F.col("_bucket") == F.col("_rb")) & near).drop("_bucket", "_rb")
     else:
-        pairs = l.join(r, equal & near, "left")
+        # A left row is in one bucket of time, and a right row in all buckets (two at most) whose left rows it may meet.
+        size, millis = before + after, lambda c: F.unix_millis(c)
+        l = l.withColumn("_lb", F.floor(millis("_lt") / size))
+        r = r.where(F.col("_rt").isNotNull()).withColumn("_rb", F.explode(F.sequence(F.floor((millis("_rt") - after) / size), F.floor((millis("_rt") + before) / size))))
+        pairs = l.join(r, equal & (F.col("_lb") == F.col("_rb")) & near, "inner" if kind == "INNER" else "left").drop("_lb", "_rb")
     old = lookup(left.schema, target)
     if RECORD_TIME in left.columns:
         pairs = pairs.withColumn(RECORD_TIME, F.greatest(F.col(RECORD_TIME), F.unix_millis("_rt")))

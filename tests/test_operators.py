@@ -302,3 +302,18 @@ def test_structure_is_checked(spark):
     for message, change in broken.items():
         with pytest.raises(ConfigError, match=message):
             Engine(spark).validate({**good, **change})
+
+
+@pytest.mark.parametrize("kind", ["LEFT", "INNER"])
+@pytest.mark.parametrize(("before", "after"), [(5, 0), (0, 7), (3, 4)])
+def test_join_in_time_buckets_against_all_pairs(spark, kind, before, after):
+    ships = [(f"s{i}", None if i % 11 == 0 else f"k{i % 3}", None if i % 13 == 0 else (i * 37) % 50 - 9) for i in range(60)]
+    calls = [(f"c{i}", None if i % 7 == 0 else f"k{i % 4}", None if i % 9 == 0 else (i * 29) % 50 - 9) for i in range(60)]
+    left, right = (spark.createDataFrame(rows, f"{name} string, k string, at long") for rows, name in ((ships, "ship"), (calls, "call")))
+    config = {"leftKeyField": "k", "rightKeyField": "k", "targetField": "met", "joinType": kind, "timeMode": "EVENT_TIME", "leftTimeField": "at", "rightTimeField": "at", "timeUnit": "MILLISECONDS", "windowBefore": before, "windowAfter": after}
+    found = REGISTRY["STREAM_JOIN"]({"left": left, "right": right}, config, Context("n", {}))["output-0"]
+    wanted = []
+    for ship, k, at in ships:
+        met = [c for c, key, then in calls if k is not None and key == k and at is not None and then is not None and at - before <= then <= at + after]
+        wanted += [(ship, c) for c in met] or ([(ship, "")] if kind == "LEFT" else [])
+    assert sorted((r["ship"], r["met"]["call"] if r["met"] else "") for r in found.collect()) == sorted(wanted)
